@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvec.operators.ranking import dense_index
-from tallyvec.operators.vocabulary import _place
+from tallyvec.operators.vocabulary import place_key
 from tallyvec.sources.stage import small
 
 
@@ -25,7 +25,7 @@ def count_label_words(
         .join(ids, "word")
         .select("doc_id", "sent_no", "col", F.posexplode("labels").alias("pos", "label"))
         .groupBy("label", "col")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.min(_place("pos")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("cnt"), F.min(place_key("pos")).alias("first"))
     )
 
 

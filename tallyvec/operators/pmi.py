@@ -38,9 +38,14 @@ def smooth_contexts(py: DataFrame, beta: float) -> DataFrame:
     return _share(py.select("col", F.pow("p", F.lit(float(beta))).alias("s")), "col")
 
 
+# Sums of doubles depend on their order in the last digits. A value this close to the
+# threshold reaches it, and a PMI this close to zero is zero.
+ROUNDING = 1e-12
+
+
 def pmi_threshold(min_pmi: float) -> float:
     """The smallest ``exp(pmi)`` that is kept."""
-    return 1.0 if min_pmi == 0 else math.exp(min_pmi)
+    return (1.0 if min_pmi == 0 else math.exp(min_pmi)) * (1 - ROUNDING)
 
 
 def _cut_log(exp_pmi: Column, min_pmi: float) -> Column:
@@ -64,8 +69,8 @@ def _apply(
     exp_pmi = (F.col("v") / F.col("row_sum")) / (F.col("p") + F.lit(float(alpha)))
     return (
         joined.select("row", "col", *keep, _cut_log(exp_pmi, min_pmi).alias("pmi"))
-        # Entries below the threshold come out null, and log 1 is a stored zero.
-        .filter("pmi <> 0")
+        # Entries below the threshold come out null.
+        .filter(F.abs("pmi") > ROUNDING)
     )
 
 

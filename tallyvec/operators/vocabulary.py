@@ -11,7 +11,7 @@ from tallyvec.operators.ranking import dense_index, running_offset
 from tallyvec.sources.stage import small
 
 
-def _place(key: str) -> Column:
+def place_key(key: str) -> Column:
     """``(doc_id, sent_no, position)`` as one 38-digit number, in the same order.
 
     A struct would turn the hash aggregation of the minimum into a sort; a wide decimal
@@ -31,7 +31,7 @@ def word_counts(sentences: DataFrame, min_count: int = 1) -> DataFrame:
     tokens = sentences.select("doc_id", "sent_no", F.posexplode("words").alias("pos", "word"))
     return (
         tokens.groupBy("word")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.min(_place("pos")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("cnt"), F.min(place_key("pos")).alias("first"))
         .filter(F.col("cnt") >= min_count)
     )
 
