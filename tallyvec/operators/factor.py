@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvec.operators.tiles import (
@@ -49,7 +49,7 @@ def sparse_dot(
     if n_dense is not None and n_dense * n_dims * 8 <= BROADCAST_BYTES:
         right = F.broadcast(right)
     parts = matrix.join(right, col).select(row, "panel", "part", F.col(value).alias("weight"))
-    return from_panels(sum_panels(parts, n_dims, F.col("weight")), n_dims)
+    return from_panels(sum_panels(parts, n_dims, "weight"), n_dims)
 
 
 def gram(dense: DataFrame, n_dims: int) -> np.ndarray:
@@ -90,9 +90,9 @@ def transform_rows(dense: DataFrame, factor: np.ndarray) -> DataFrame:
 
 def _random_basis(keys: DataFrame, n_dims: int, seed: int) -> DataFrame:
     """A start basis that depends on key and seed only, not on the partitioning."""
-    key = F.col(keys.columns[0])
-    numbers = [F.xxhash64(key, F.lit(d), F.lit(seed)) / F.lit(2.0**63) for d in range(n_dims)]
-    return keys.select(key, F.array(*numbers).alias("vec"))
+    key = keys.columns[0]
+    numbers = [f"xxhash64({key}, {d}, {seed}L) / {2**63}D" for d in range(n_dims)]
+    return keys.selectExpr(key, f"array({', '.join(numbers)}) AS vec")
 
 
 def _whitening(square: np.ndarray) -> np.ndarray:
@@ -178,7 +178,6 @@ def truncated_svd(
         right = write_stage(from_panels(product, dims), f"svd-basis-{step}")
         # Between passes only the span matters.
         basis, dims = orthonormalise(right, dims, rounds=2 if step == n_iter else 1)
-    basis = write_stage(basis, "svd-basis")
     left = write_stage(from_panels(across.dot(to_panels(basis, dims), dims), dims), "svd-left")
 
     values, vectors = np.linalg.eigh(gram(left, dims))
@@ -203,8 +202,8 @@ def _pad(dense: DataFrame, n: int) -> DataFrame:
 
 def scale_dims(dense: DataFrame, factors: list[float]) -> DataFrame:
     """Multiply each dimension of ``(key, vec)`` by its factor."""
-    scaled: list[Column] = [F.get("vec", F.lit(d)) * F.lit(f) for d, f in enumerate(factors)]
-    return dense.select(dense.columns[0], F.array(*scaled).alias("vec"))
+    scaled = [f"get(vec, {d}) * {f!r}D" for d, f in enumerate(factors)]
+    return dense.selectExpr(dense.columns[0], f"array({', '.join(scaled)}) AS vec")
 
 
 def representation(

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvec.sources.stage import BROADCAST_BYTES, write_stage
@@ -46,32 +46,28 @@ def n_blocks(n: int) -> int:
 
 def to_panels(dense: DataFrame, n_dims: int) -> DataFrame:
     """``(key, panel, part)`` of ``(key, vec)``; the last part may be short."""
+    # As one SQL expression: a column object per dimension is slow to build.
     parts = [
-        F.struct(F.lit(i).alias("panel"), F.slice("vec", start + 1, PANEL).alias("part"))
+        f"struct({i} AS panel, slice(vec, {start + 1}, {PANEL}) AS part)"
         for i, start in enumerate(range(0, n_dims, PANEL))
     ]
-    return dense.select(dense.columns[0], F.inline(F.array(*parts)))
+    return dense.selectExpr(dense.columns[0], f"inline(array({', '.join(parts)}))")
 
 
-def sum_panels(parts: DataFrame, n_dims: int, weight: Column | None = None) -> DataFrame:
+def sum_panels(parts: DataFrame, n_dims: int, weight: str | None = None) -> DataFrame:
     """Sum the parts per key and panel, each times ``weight``; short parts come out padded."""
-    key, width = parts.columns[0], min(PANEL, n_dims)
-    cells = [F.get("part", F.lit(d)) for d in range(width)]
-    if weight is not None:
-        cells = [weight * c for c in cells]
-    sums = [F.sum(c).alias(f"d{d}") for d, c in enumerate(cells)]
-    padded = [F.coalesce(f"d{d}", F.lit(0.0)) for d in range(width)]
-    return (
-        parts.groupBy(key, "panel").agg(*sums).select(key, "panel", F.array(*padded).alias("part"))
-    )
+    key, times = parts.columns[0], f"{weight} * " if weight else ""
+    sums = [f"coalesce(sum({times}get(part, {d})), 0D)" for d in range(min(PANEL, n_dims))]
+    return parts.groupBy(key, "panel").agg(F.expr(f"array({', '.join(sums)}) AS part"))
 
 
 def from_panels(parts: DataFrame, n_dims: int) -> DataFrame:
     """``(key, vec)`` of ``(key, panel, part)``."""
     key = parts.columns[0]
-    ordered = F.array_sort(F.collect_list(F.struct("panel", "part"))).getField("part")
-    vectors = parts.groupBy(key).agg(F.flatten(ordered).alias("vec"))
-    return vectors.select(key, F.slice("vec", 1, n_dims).alias("vec"))
+    vectors = parts.groupBy(key).agg(
+        F.expr("flatten(array_sort(collect_list(struct(panel, part))).part) AS vec")
+    )
+    return vectors.selectExpr(key, f"slice(vec, 1, {n_dims}) AS vec")
 
 
 def list_matrix(column: pa.Array, n_dims: int) -> np.ndarray:
@@ -163,14 +159,12 @@ class Tiles:
         out_height, in_height = -(-self.n_out // outs), -(-self.n_in // ins)
         n_panels, width = -(-n_dims // PANEL), min(PANEL, n_dims)
 
-        key = F.col(panels.columns[0])
-        slot = F.floor(key / F.lit(ins)).cast("int").alias("slot")
         # Every part is as wide as a panel; the padding of the last one stays zero.
-        missing = F.lit(width) - F.size("part")
-        part = F.concat("part", F.array_repeat(F.lit(0.0), missing)).alias("part")
-        blocks = panels.groupBy((key % F.lit(ins)).alias("in_block")).agg(
-            F.collect_list(F.struct(slot, "panel", part)).alias("block")
-        )
+        key = panels.columns[0]
+        padded = f"concat(part, array_repeat(0D, {width} - size(part)))"
+        cell = f"struct(cast(floor({key} / {ins}) AS int) AS slot, panel, {padded} AS part)"
+        blocks = panels.selectExpr(f"{key} % {ins} AS in_block", f"{cell} AS cell")
+        blocks = blocks.groupBy("in_block").agg(F.collect_list("cell").alias("block"))
         if self.n_in * n_dims * 8 <= BROADCAST_BYTES:
             blocks = F.broadcast(blocks)
 
