@@ -30,7 +30,6 @@ HEADLINE = [
     "infer_wordvec",
     "vocabulary_neighbours",
     "knn_join",
-    "similar_in_pmi_space",
     "label_keywords",
     "label_influence",
     "subword_counts",

@@ -40,3 +40,26 @@ def best_of_block(
     keep = above | (level & (np.cumsum(level, axis=1) <= room))
     columns = np.nonzero(keep)[1].reshape(-1, k)
     return np.take_along_axis(scores, columns, axis=1), ids[columns]
+
+
+def merge_few(
+    scores: np.ndarray,
+    ids: np.ndarray,
+    rows: np.ndarray,
+    new_scores: np.ndarray,
+    new_ids: np.ndarray,
+    k: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """``merge_top`` for scattered candidates: entry i belongs to row ``rows[i]``.
+
+    The rows must be sorted and every row of ``scores`` full.
+    """
+    touched, counts = np.unique(rows, return_counts=True)
+    all_rows = np.concatenate([np.repeat(touched, k), rows])
+    all_scores = np.concatenate([scores[touched].ravel(), new_scores])
+    all_ids = np.concatenate([ids[touched].ravel(), new_ids])
+    order = np.lexsort((all_ids, -all_scores, all_rows))
+    starts = np.concatenate([[0], np.cumsum(counts + k)[:-1]])
+    best = order[starts[:, None] + np.arange(k)]
+    scores[touched], ids[touched] = all_scores[best], all_ids[best]
+    return scores, ids

@@ -223,6 +223,7 @@ def representation(
 def fill_rows(dense: DataFrame, n_rows: int, n_dims: int) -> DataFrame:
     """Add zero vectors for the missing keys below ``n_rows``."""
     key = dense.columns[0]
-    keys = dense.sparkSession.range(n_rows).select(F.col("id").cast("int").alias(key))
+    kind = dense.schema[key].dataType
+    keys = dense.sparkSession.range(n_rows).select(F.col("id").cast(kind).alias(key))
     zeros = F.array_repeat(F.lit(0.0), n_dims)
     return keys.join(dense, key, "left").select(key, F.coalesce("vec", zeros).alias("vec"))

@@ -43,21 +43,26 @@ def dense_index(
     """
     placed = _ranges(df, order, name)
     offsets, total = _offsets(placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size")))
+    # More rows than an int can number are possible where every document is a label.
+    kind = "int" if total < 1 << 31 else "long"
     indexed = placed.join(F.broadcast(offsets), "_range").select(
-        (F.col("_offset") + F.col("_row")).cast("int").alias(index), *df.columns
+        (F.col("_offset") + F.col("_row")).cast(kind).alias(index), *df.columns
     )
     return indexed, total
 
 
 def running_offset(
     df: DataFrame, order: list[Column], size: str, offset: str = "offset", name: str = "offset"
-) -> tuple[DataFrame, int]:
-    """Add the sum of ``size`` over all earlier rows in ``order``; also return the total.
+) -> tuple[DataFrame, int, int]:
+    """Add the sum of ``size`` over all earlier rows in ``order``.
+
+    Also return the total of ``size`` and the number of rows.
 
     The running sum within a range uses a window per range, never one over all rows.
     """
     placed = _ranges(df, order, name)
-    offsets, total = _offsets(placed.groupBy("_range").agg(F.sum(size).alias("_size")))
+    sizes = placed.groupBy("_range").agg(F.sum(size).alias("_size"))
+    (offsets, total), n_rows = _offsets(sizes), placed.count()
     earlier = Window.partitionBy("_range").orderBy("_row").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -67,4 +72,5 @@ def running_offset(
         .join(F.broadcast(offsets), "_range")
         .select(*df.columns, (F.col("_offset") + F.col("_within")).alias(offset)),
         total,
+        n_rows,
     )

@@ -126,6 +126,7 @@ class Tiles:
 
     tiles: DataFrame
     out: str
+    kind: str
     n_out: int
     n_in: int
 
@@ -138,8 +139,8 @@ class Tiles:
         """
         outs, ins = F.lit(n_blocks(n_out)), F.lit(n_blocks(n_in))
         placed = cells.select(
-            (F.col(out) % outs).alias("out_block"),
-            (F.col(into) % ins).alias("in_block"),
+            (F.col(out) % outs).cast("int").alias("out_block"),
+            (F.col(into) % ins).cast("int").alias("in_block"),
             F.floor(F.col(out) / outs).cast("int").alias("r"),
             F.floor(F.col(into) / ins).cast("int").alias("c"),
             "v",
@@ -148,7 +149,7 @@ class Tiles:
             "out_block", "in_block", "r", "c"
         )
         tiles = write_stage(ordered.mapInArrow(_pack, TILE_SCHEMA), f"tiles-{out}")
-        return Tiles(tiles, out, n_out, n_in)
+        return Tiles(tiles, out, cells.schema[out].dataType.simpleString(), n_out, n_in)
 
     def dot(self, panels: DataFrame, n_dims: int) -> DataFrame:
         """The panels of the product with a dense factor given as panels.
@@ -163,7 +164,7 @@ class Tiles:
         key = panels.columns[0]
         padded = f"concat(part, array_repeat(0D, {width} - size(part)))"
         cell = f"struct(cast(floor({key} / {ins}) AS int) AS slot, panel, {padded} AS part)"
-        blocks = panels.selectExpr(f"{key} % {ins} AS in_block", f"{cell} AS cell")
+        blocks = panels.selectExpr(f"cast({key} % {ins} AS int) AS in_block", f"{cell} AS cell")
         blocks = blocks.groupBy("in_block").agg(F.collect_list("cell").alias("block"))
         if self.n_in * n_dims * 8 <= BROADCAST_BYTES:
             blocks = F.broadcast(blocks)
@@ -172,7 +173,7 @@ class Tiles:
             slots = np.flatnonzero(seen)
             for begin in range(0, len(slots), SLICE_ROWS):
                 part = slots[begin : begin + SLICE_ROWS]
-                ids = (part * outs + block).astype(np.int32)
+                ids = part.astype(np.int64) * outs + block
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids), list_vectors(total[part])], ["out", "vec"]
                 )
@@ -208,7 +209,7 @@ class Tiles:
         partial = (
             self.tiles.join(blocks, "in_block")
             .select("out_block", "r", "c", "v", "block")
-            .mapInArrow(multiply, "out int, vec array<double>")
+            .mapInArrow(multiply, "out long, vec array<double>")
         )
-        partial = partial.withColumnRenamed("out", self.out)
+        partial = partial.selectExpr(f"cast(out AS {self.kind}) AS {self.out}", "vec")
         return sum_panels(to_panels(partial, n_panels * width), n_dims)

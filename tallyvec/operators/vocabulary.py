@@ -69,25 +69,26 @@ def decode_words(
     return df.join(keys, idx).drop(idx)
 
 
-def document_offsets(sentences: DataFrame) -> tuple[DataFrame, int]:
-    """``(doc_id, first_sentence)``: sentences before each document, and their total number."""
+def document_offsets(sentences: DataFrame) -> tuple[DataFrame, int, int]:
+    """``(doc_id, first_sentence)``: the sentences before each document.
+
+    Also the number of sentences and of documents.
+    """
     sizes = sentences.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sents"))
-    offsets, total = running_offset(
+    offsets, total, n_docs = running_offset(
         sizes, [F.col("doc_id")], "n_sents", "first_sentence", name="sentences"
     )
-    return offsets.select("doc_id", "first_sentence"), total
+    return offsets.select("doc_id", "first_sentence"), total, n_docs
 
 
 def index_sentences(sentences: DataFrame) -> tuple[DataFrame, int]:
     """Add ``i_sent``, the ordinal of each sentence in the corpus, and return their number.
 
-    Only one row per document is sorted; the texts stay where they are unless there are
+    Only one row per document is sorted. The texts stay where they are, unless there are
     too many documents to broadcast their offsets.
     """
-    offsets, total = document_offsets(sentences)
-    # Sentences of a document are numbered without gaps, so no document has more
-    # sentences than the corpus, and the written offsets have a known size.
-    indexed = sentences.join(offsets, "doc_id").withColumn(
+    offsets, total, n_docs = document_offsets(sentences)
+    indexed = sentences.join(small(offsets, n_docs), "doc_id").withColumn(
         "i_sent", F.col("first_sentence") + F.col("sent_no")
     )
     return indexed.drop("first_sentence"), total
