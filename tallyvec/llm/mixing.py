@@ -5,8 +5,8 @@ beyond that, each with the inclusion probability ``r - floor(r)``. The flight mo
 probabilities along directions that keep the total of documents and the total of words
 (the null space of the two constraints), until each is 0 or 1. It runs in blocks of
 documents, each of which leaves two undecided at most; the undecided of many blocks form
-the blocks of the next pass. The last one or two of a source are the landing: they are
-set so that the words come nearest to the target.
+the blocks of the next pass. The flight of a source's last block ends with a dozen
+undecided: the landing, which tries all ways to decide them and takes the nearest.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from tallyvec.sources.stage import write_stage
 
 BLOCK = 2000  # documents in a block
 EXACT = 1e-9  # probabilities this near to 0 or 1 are decided
+LANDING = 12  # undecided documents left to the landing
 MOST = 3  # copies of a document at most
 
 
@@ -56,15 +57,16 @@ def targets(sizes: DataFrame) -> DataFrame:
     return known.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def flight(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Move ``p`` until at most two are undecided; sums of ``p`` and ``p * x`` stay."""
+def flight(p: np.ndarray, x: np.ndarray, leave: int = 2) -> np.ndarray:
+    """Move ``p`` until ``leave`` (two at least) are undecided; sums of ``p`` and ``p * x`` stay."""
     p = p.astype(float).copy()
     x = x.astype(float) / max(1.0, float(np.abs(x).max(initial=1)))
     open_ = [i for i in range(len(p)) if EXACT < p[i] < 1 - EXACT]
     draw = np.random.default_rng(len(p))
     held = open_[:3]
     rest = iter(open_[3:])
-    while len(held) == 3:
+    n = len(open_)
+    while len(held) == 3 and n > leave:
         i, j, k = held
         u = np.array([x[j] - x[k], x[k] - x[i], x[i] - x[j]])  # sums to 0, and so does u * x
         if not u.any():
@@ -77,36 +79,35 @@ def flight(p: np.ndarray, x: np.ndarray) -> np.ndarray:
         q[q < EXACT] = 0.0
         q[q > 1 - EXACT] = 1.0
         p[held] = q
+        n -= len(held)
         held = [h for h in held if 0 < p[h] < 1]
+        n += len(held)
         while len(held) < 3 and (more := next(rest, None)) is not None:
             held.append(more)
     return p
 
 
 def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Decide the last one or two so that the words come nearest to their expectation."""
+    """Decide the last few so that words, and then documents, come nearest to their expectation."""
     p = p.copy()
     left = np.flatnonzero((p > 0) & (p < 1))
     if len(left):
-        goal = float(p[left] @ x[left])
-        ways = [[(w >> b) & 1 for b in range(len(left))] for w in range(1 << len(left))]
-        p[left] = min(ways, key=lambda w: (abs(float(np.array(w) @ x[left]) - goal), w))
+        ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+        words = np.abs(ways @ x[left] - p[left] @ x[left]) / max(1.0, float(x[left].mean()))
+        p[left] = ways[np.argmin(words + 0.1 * np.abs(ways.sum(1) - p[left].sum()))]
     return p
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``, a row per row.
+    """``doc_id, source, turn, nth, size, source_size, target, copies``: a row per row of ``docs``.
 
-    ``copies`` is 0 to 3. Nulls are a source of their own, null texts have size 0 and
+    ``copies`` is 0 to 3; ``turn`` and ``nth`` tell rows apart. Other columns of ``docs`` than
+    ``doc_id, source, text`` are ignored. Null sources are a source of their own, null texts have size 0 and
     never count; documents of the same id, source and size are interchangeable. Blocks and
     draws follow from a hash of id, source and text, so reruns agree. No rows give none.
     """
-    known = {"size", "source_size", "target", "copies"}
-    if clash := known & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are results; rename them")
     spread = F.xxhash64(F.lit("mix"), "doc_id", "source", "text")
     sized = docs.select("doc_id", "source", size_of().alias("size"), spread.alias("turn"))
-    # Rows that agree in all of this are one unit with a count; the copies are dealt out later.
     sized = write_stage(sized, "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = write_stage(sources, "mix-sources")
@@ -139,8 +140,9 @@ def sample(docs: DataFrame) -> DataFrame:
             # Large documents are decided first, so that small ones are left to the landing.
             rows = rows.sort_values(["size", "turn", "nth"], ascending=[False, True, True], kind="stable")
             p, x = rows["p"].to_numpy(), rows["size"].to_numpy()
-            p = flight(p, x)
-            if rows["blocks"].iloc[0] == 1:
+            last = rows["blocks"].iloc[0] == 1
+            p = flight(p, x, LANDING if last else 2)
+            if last:
                 p = landing(p, x)
             return rows.assign(p=p)[["source", "turn", "nth", "size", "p", "blocks", "block"]]
 

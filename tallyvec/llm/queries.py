@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvec.llm import decontaminate, mixing, outliers, simhash, substring_dedup, suffix_dedup, tokens
+from tallyvec.llm import (
+    decontaminate, html_text, kneser_ney, mixing, outliers, secrets, simhash, substring_dedup, suffix_dedup, tokens,
+)
 from tallyvec.sources.stage import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,6 +61,30 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    out = html_text.extract(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled good and not toxic."""
+    return _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under the model of the trusted ones."""
+    out = kneser_ney.classify(_table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+    return out.select("doc_id", "lang", "n_chars", "perplexity", "threshold", "kept")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked credentials in every document."""
+    out = secrets.scan(_table(spark, sf_dir, "documents"))
+    digest = F.sha2("base", 256).alias("base_sha256")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans")
+
+
 def op9_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and the verdict of the robust estimates."""
     out = outliers.judge(_table(spark, sf_dir, "documents"))
@@ -79,7 +105,10 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_token_binary": op3_token_binary,
     "op4_simhash": op4_simhash,
+    "op5_html_text": op5_html_text,
     "op6_decontamination": op6_decontamination,
+    "op7_quality": op7_quality,
+    "op8_secrets": op8_secrets,
     "op9_outliers": op9_outliers,
     "op10_mixing": op10_mixing,
 }

@@ -54,16 +54,16 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)``; a text without words, or null, has fingerprint zero."""
+    """``(doc_id, tie, fp)``; ``tie`` is a hash of the text. Wordless and null texts have ``fp`` zero."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(shingle_hashes(t.as_py(), width, seed)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"]
-            )
+            fps = [fingerprint(shingle_hashes(t.as_py(), width, seed)) for t in batch.column(2)]
+            arrays = [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "tie", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, fp long")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    return keyed.mapInArrow(work, "doc_id long, tie long, fp long")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +210,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp, component_id)``: documents with the smallest id they are linked to.
+    """``(doc_id, tie, fp, component_id)``: documents with the smallest id they are linked to.
 
     Fingerprints link at ``most`` or fewer differing bits, directly or through others.
     Takes ``doc_id`` and ``text``, ignores other columns; null and wordless texts have
@@ -226,4 +226,4 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, seed: int =
     placed = write_stage(placed, "simhash-placed")
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = placed.join(lows, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return own.join(classes, "fp").select("doc_id", "tie", "fp", "component_id")
