@@ -9,8 +9,8 @@ Spark writes and reads the files, so any store that Spark reaches will do.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_IDS = 1 << 17  # a block is closed at so many ids; a document is never cut
-PIECES = 200_000  # pieces of text remembered by a worker
+PIECES = 2_500_000  # pieces of text that a worker remembers: some 400 MB
 
 FILE = (
     "shard int, block int, start long, doc_ids array<long>, counts array<long>, bits int, n_ids long, payload binary"
@@ -51,15 +51,15 @@ def unpack_ids(payload: bytes, bits: int, n: int, start: int = 0) -> np.ndarray:
 
 
 class Encoder:
-    """A tokenizers file, with the encodings of pieces between single spaces remembered.
+    """A tokenizers file, with the encodings of pieces remembered.
 
-    The byte-level pre-tokenizer never joins what stands left and right of a single space
-    between two other characters, and gives the space to the right. So such texts are
-    encoded piece by piece; a text with other white space around a space goes in whole.
+    A byte-level pre-tokenizer never joins what stands left and right of a single space or
+    line end between two other characters, and never gives that to the left. So a text in which all
+    white space is of that kind is put together from pieces; other texts, and all texts of
+    other kinds of tokenizers, are encoded as they are. Pieces not met before are encoded in
+    one go: the lengths of the tokens in bytes tell where a piece ends.
     """
 
-    _odd = re.compile(r"\s\s|^\s|\s$")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -68,35 +68,54 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self._many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        made = json.loads(self.tokenizer.to_str())
+        before = made.get("pre_tokenizer") or {}
+        self.pieces = (
+            before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+            and not made.get("normalizer")
+        )
+        self.lengths = np.zeros(1 << self.bits, np.int64)  # a byte is one character of a token
+        for token, number in self.tokenizer.get_vocab().items():
+            self.lengths[number] = len(token)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = np.zeros(PIECES, np.int64), np.zeros(PIECES, np.int64)
+        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self._many([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, pieces: list[str]) -> None:
-        for piece, encoding in zip(pieces, self._many(pieces, add_special_tokens=False)):
-            ids = encoding.ids
-            number, end = len(self.known), self.used + len(ids)
-            while end > len(self.flat):
-                self.flat = np.concatenate([self.flat, self.flat])
-            if number == len(self.at):
-                self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-            self.flat[self.used : end] = ids
-            self.at[number], self.size[number], self.used = self.used, len(ids), end
-            self.known[piece] = number
+        """Pieces of a space or a line end and what follows it: joined, they stay apart."""
+        ids = self._whole("".join(pieces))
+        ends = np.cumsum(self.lengths[ids])
+        sizes = np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in pieces), np.int64, len(pieces))
+        count = np.diff(np.searchsorted(ends, np.cumsum(sizes)) + 1, prepend=0)
+        first, end = len(self.known), self.used + len(ids)
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        while first + len(pieces) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.flat[self.used : end] = ids
+        self.at[first : first + len(pieces)] = self.used + np.cumsum(count) - count
+        self.size[first : first + len(pieces)] = count
+        self.used = end
+        self.known.update(zip(pieces, range(first, first + len(pieces))))
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if self._odd.search(text):
-            return np.array(self._many([text], add_special_tokens=False)[0].ids, np.uint32)
-        pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else re.split(r"(?= )", text)
+        single = len(text.split()) == text.count(" ") + text.count("\n") + 1
+        if not (self.pieces and single) or "\0" in text:
+            return self._whole(text)
+        # The line end put in front is one token, which is left out again.
+        pieces = ("\n" + text).replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
         numbers = list(map(self.known.get, pieces))
         if None in numbers:
             missing = {p for p, n in zip(pieces, numbers) if n is None}
-            if len(self.known) + len(missing) > PIECES:
+            if self.known and len(self.known) + len(missing) > PIECES:
                 self._forget()
                 missing = set(pieces)
             self._learn(list(missing))
@@ -104,7 +123,7 @@ class Encoder:
         own = np.array(numbers, np.int64)
         sizes = self.size[own]
         shift = self.at[own] - (np.cumsum(sizes) - sizes)
-        return self.flat[np.repeat(shift, sizes) + np.arange(sizes.sum())]
+        return self.flat[np.repeat(shift, sizes) + np.arange(sizes.sum())][1:]
 
 
 def encoder(path: str) -> Encoder:
