@@ -27,11 +27,11 @@ WINDOW = 5  # words in a repeated window
 LEAST = 50  # documents that a group needs; smaller sources of a language share a group
 STEPS = 4  # concentration steps
 KEPT = 0.75  # share of a group that a step fits to
-CUT = 60.0  # squared distance from which a document is an outlier
+CUT = 14.0  # squared distance from which a document is an outlier
 DIMS = 5
 # Smallest spread of each transformed statistic, as a standard deviation: below it a
 # difference is not worth a rejection, and a constant statistic stays invertible.
-FLOOR = (0.06, 0.08, 0.06, 0.05, 0.08)
+FLOOR = (0.06, 0.08, 0.06, 0.08, 0.06)
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines"]
 
@@ -104,8 +104,8 @@ def transformed() -> list[Column]:
         F.log((chars + 100) / (words + 20)),
         F.sqrt(F.col("n_symbols") / (chars + 20)),
         F.sqrt(F.col("n_upper") / (chars + 40)),
-        F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + 4)),
-        F.sqrt(F.col("n_repeat_words") / (words + 20)),
+        F.col("n_dup_lines") / (F.col("n_lines") + 4),
+        F.col("n_repeat_words") / (words + 20),
     ]
 
 
