@@ -102,6 +102,11 @@ def rounded(column: Column | str) -> Column:
     return F.round(column, DIGITS) + F.lit(0.0)
 
 
+def nine_digits(column: Column | str) -> Column:
+    """Similarities as they are ranked: rounded once, from the unrounded value."""
+    return F.round(column, 9) + F.lit(0.0)
+
+
 def vector_cells(df: DataFrame, *keys: str) -> DataFrame:
     """One row per dimension, as the engines round and compare numbers, not arrays."""
     return df.select(*keys, F.posexplode("vec").alias("d", "x")).select(

@@ -10,6 +10,7 @@ from catalog.common import (
     LABELLED_SQL,
     label_counts,
     labelled,
+    nine_digits,
     pmi_sql,
     r,
     rounded,
@@ -119,7 +120,7 @@ def neighbours_side_by_side(spark, sf_dir):
     queries = frequent_queries(counts, counts)
     chosen = full.join(queries.select(F.col("word").alias("query")), "query", "left_semi")
     report = neighbour_report(chosen, half, counts)
-    return report.withColumn("full_sim", rounded("full_sim")).withColumn("infer_sim", rounded("infer_sim"))
+    return report.withColumn("full_sim", nine_digits("full_sim")).withColumn("infer_sim", nine_digits("infer_sim"))
 
 
 def accuracy(spark, sf_dir):
@@ -134,7 +135,7 @@ def hits(spark, sf_dir):
 
 def neighbour_export(spark, sf_dir):
     exported = export_neighbours(_both_neighbours(spark, sf_dir, TOP)[1])
-    pair = lambda n: F.concat(n["word"], F.lit(":"), F.round(n["sim"], 6).cast("decimal(9,6)").cast("string"))
+    pair = lambda n: F.concat(n["word"], F.lit(":"), F.round(n["sim"], 9).cast("decimal(12,9)").cast("string"))
     return exported.select("query", F.array_join(F.transform("neighbours", pair), ",").alias("neighbours"))
 
 
@@ -198,8 +199,8 @@ ORACLES = {
     "neighbour_report": f"""{_PAIR},
         counts AS (SELECT word, idx, count(*) OVER (PARTITION BY label) AS cnt FROM emb),
         asked AS (SELECT word, cnt FROM counts ORDER BY cnt DESC, idx LIMIT 1000)
-        SELECT fn.query, asked.cnt AS query_cnt, fn.rank, fn.word AS full_word, x.cnt AS full_word_cnt, {r('fn.sim')} AS full_sim,
-            hn.word AS infer_word, y.cnt AS infer_word_cnt, {r('hn.sim')} AS infer_sim
+        SELECT fn.query, asked.cnt AS query_cnt, fn.rank, fn.word AS full_word, x.cnt AS full_word_cnt, fn.sim + 0.0 AS full_sim,
+            hn.word AS infer_word, y.cnt AS infer_word_cnt, hn.sim + 0.0 AS infer_sim
         FROM fn JOIN hn ON hn.query = fn.query AND hn.rank = fn.rank JOIN asked ON asked.word = fn.query
             JOIN counts x ON x.word = fn.word JOIN counts y ON y.word = hn.word WHERE fn.rank <= 10""",
     "reconstruction_accuracy": f"""{_PAIR},
@@ -216,6 +217,6 @@ ORACLES = {
             WHERE fn.query = emb.word AND fn.rank <= k AND hn.rank <= k) THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM emb, ks GROUP BY k)
         SELECT k, hits, total, {r('hits / total')} AS share FROM res""",
     "neighbour_export": f"""{_PAIR}
-        SELECT query, string_agg(word || ':' || CAST(CAST(round(sim, 6) AS DECIMAL(9, 6)) AS VARCHAR), ',' ORDER BY rank) AS neighbours
+        SELECT query, string_agg(word || ':' || CAST(CAST(round(sim, 9) AS DECIMAL(12, 9)) AS VARCHAR), ',' ORDER BY rank) AS neighbours
         FROM hn WHERE rank <= {TOP} GROUP BY query""",
 }

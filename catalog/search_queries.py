@@ -9,9 +9,8 @@ from catalog.common import (
     BENCHMARK_WORDS_SQL,
     DIMS,
     benchmark_words,
+    nine_digits,
     pmi_sql,
-    r,
-    rounded,
     stand_in,
     table,
     vocabulary,
@@ -61,11 +60,11 @@ def centroids(spark, sf_dir):
 
 
 def _words(df):
-    return df.select("rank", "word", rounded("sim").alias("sim"))
+    return df.select("rank", "word", nine_digits("sim").alias("sim"))
 
 
 def _hits(df):
-    return df.select("query", "rank", "id", rounded("sim").alias("sim"))
+    return df.select("query", "rank", "id", nine_digits("sim").alias("sim"))
 
 
 def similar_words(spark, sf_dir):
@@ -93,7 +92,7 @@ def similar_docs(spark, sf_dir):
     dv = centroids(spark, sf_dir)
     queries = embeddings(spark, sf_dir).select("idx", "vec")
     hits = name_hits(cosine_search(queries, dv.select("idx", "vec"), EMBEDDING_DIMS, 3), dv, "label")
-    return hits.select("query", "rank", "label", rounded("sim").alias("sim"))
+    return hits.select("query", "rank", "label", nine_digits("sim").alias("sim"))
 
 
 def similar_docs_from_bow(spark, sf_dir):
@@ -102,7 +101,7 @@ def similar_docs_from_bow(spark, sf_dir):
     pmi, _ = train_pmi(benchmark_bags(spark, sf_dir), model_contexts(spark, sf_dir), n_cols=n_vocab)
     queries = sparse_dot(pmi, stand_in(vocab), DIMS, n_vocab, value="pmi")
     hits = name_hits(cosine_search(queries, dv.select("idx", "vec"), DIMS, 10), dv, "label")
-    return hits.select("query", "rank", "label", rounded("sim").alias("sim"))
+    return hits.select("query", "rank", "label", nine_digits("sim").alias("sim"))
 
 
 def similar_in_pmi_space(spark, sf_dir):
@@ -147,22 +146,22 @@ _ONE = f"WITH {EMBEDDINGS_SQL}, one AS (SELECT * FROM emb WHERE idx = {QUERY}),"
 
 ORACLES = {
     "similar_words": f"""{_ONE}{ranked_sql('h', 'one', 'emb', 'q.idx <> i.idx')}
-        SELECT rank, word, {r('s')} AS sim FROM h JOIN emb ON emb.idx = id WHERE rank <= 10""",
+        SELECT rank, word, s + 0.0 AS sim FROM h JOIN emb ON emb.idx = id WHERE rank <= 10""",
     "similar_from_vector": f"""{_ONE}{ranked_sql('h', 'one', 'emb')}
-        SELECT rank, word, {r('s')} AS sim FROM h JOIN emb ON emb.idx = id WHERE rank <= 10""",
+        SELECT rank, word, s + 0.0 AS sim FROM h JOIN emb ON emb.idx = id WHERE rank <= 10""",
     "most_similar": f"""{_ONE}{ranked_sql('h', 'one', 'emb', 'q.idx <> i.idx')}
-        SELECT rank, word, {r('s')} AS sim FROM h JOIN emb ON emb.idx = id""",
+        SELECT rank, word, s + 0.0 AS sim FROM h JOIN emb ON emb.idx = id""",
     "knn_join": f"""WITH {EMBEDDINGS_SQL},{ranked_sql('h', 'emb', 'emb', 'q.idx <> i.idx')}
-        SELECT query, rank, id, {r('s')} AS sim FROM h WHERE rank <= 10""",
+        SELECT query, rank, id, s + 0.0 AS sim FROM h WHERE rank <= 10""",
     "similar_docs": f"""WITH {EMBEDDINGS_SQL},
         cells AS (SELECT label AS idx, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM emb),
         means AS (SELECT idx, d, avg(x) AS x FROM cells GROUP BY idx, d),
         dv AS (SELECT idx, list(x ORDER BY d) AS vec FROM means GROUP BY idx),{ranked_sql('h', 'emb', 'dv')}
-        SELECT query, rank, 'label' || id AS label, {r('s')} AS sim FROM h WHERE rank <= 3""",
+        SELECT query, rank, 'label' || id AS label, s + 0.0 AS sim FROM h WHERE rank <= 3""",
     "similar_docs_from_bow": f"""{DOCUMENT_LABELS_SQL},{BENCHMARK_BAGS_SQL},
         dv AS (SELECT row AS idx, list(x ORDER BY d) AS vec FROM dproj GROUP BY row),
         bq AS (SELECT row AS idx, list(x ORDER BY d) AS vec FROM bproj GROUP BY row),{ranked_sql('h', 'bq', 'dv')}
-        SELECT query, rank, label, {r('s')} AS sim FROM h JOIN labs ON labs.idx = id WHERE rank <= 10""",
+        SELECT query, rank, label, s + 0.0 AS sim FROM h JOIN labs ON labs.idx = id WHERE rank <= 10""",
     "similar_in_pmi_space": f"""{BASE_SQL},{MODEL_PY_SQL},{pmi_sql('pm', 'ww', 'model_py', CUT)},{BENCHMARK_WORDS_SQL},
         lens AS (SELECT row, sqrt(sum(pmi * pmi)) AS len FROM pm GROUP BY row),
         asked AS (SELECT pm.* FROM pm JOIN vocab ON idx = row JOIN bwords USING (word)),
@@ -170,5 +169,5 @@ ORACLES = {
             WHERE q.row <> p.row GROUP BY q.row, p.row),
         sims AS (SELECT query, id, dot / (x.len * y.len) AS s FROM dots JOIN lens x ON x.row = query JOIN lens y ON y.row = id),
         h AS (SELECT query, id, round(s, 9) AS s, {_RANK} AS rank FROM sims)
-        SELECT query, rank, id, {r('s')} AS sim FROM h WHERE rank <= 10""",
+        SELECT query, rank, id, s + 0.0 AS sim FROM h WHERE rank <= 10""",
 }

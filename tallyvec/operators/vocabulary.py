@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvec.operators.ranking import dense_index, running_offset
@@ -84,11 +84,12 @@ def document_offsets(sentences: DataFrame) -> tuple[DataFrame, int, int]:
 def index_sentences(sentences: DataFrame) -> tuple[DataFrame, int]:
     """Add ``i_sent``, the ordinal of each sentence in the corpus, and return their number.
 
-    Only one row per document is sorted. The texts stay where they are, unless there are
-    too many documents to broadcast their offsets.
+    Sentences are counted within their document, so numbers that a filter has left out make
+    no gap. Beyond that only one row per document is sorted.
     """
     offsets, total, n_docs = document_offsets(sentences)
-    indexed = sentences.join(small(offsets, n_docs), "doc_id").withColumn(
-        "i_sent", F.col("first_sentence") + F.col("sent_no")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_no")) - 1
+    indexed = sentences.withColumn("place", place).join(small(offsets, n_docs), "doc_id").withColumn(
+        "i_sent", F.col("first_sentence") + F.col("place")
     )
-    return indexed.drop("first_sentence"), total
+    return indexed.drop("first_sentence", "place"), total

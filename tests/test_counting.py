@@ -81,6 +81,21 @@ def replay(sentences, vocab, window, min_count, prune_point):
     return {k: v / window for k, v in counts.items()}
 
 
+def test_block_pruning_after_a_hold_out(spark):
+    rng = random.Random(7)
+    lists = [[f"w{rng.randint(0, 9)}" for _ in range(6)] for _ in range(40)]
+    rows = [(i // 20, i % 20, words) for i, words in enumerate(lists)]  # gaps within documents
+    whole = spark.createDataFrame(rows, "doc_id long, sent_no int, words array<string>")
+    vocab, n = index_vocabulary(whole, 3)
+    known = {r["word"] for r in vocab.collect()}
+    left = [words for words in lists if "w4" not in words]
+    kept = whole.where("not array_contains(words, 'w4')")
+    got = counted(word_context(kept, vocab, 3, True, 2, 5, n_vocab=n))
+    want = {k: v for k, v in replay(left, known, 3, 2, 5).items() if v}
+    assert len(left) not in (0, len(lists))
+    assert got == pytest.approx(want)
+
+
 @pytest.mark.parametrize("min_count,prune_point", [(1, 10), (2, 7), (3, 10), (2, 1000)])
 def test_block_pruning_against_a_replay(spark, min_count, prune_point):
     rng = random.Random(min_count)
