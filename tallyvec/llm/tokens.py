@@ -14,6 +14,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_IDS = 1 << 17  # a block is closed at so many ids; a document is never cut
+GROUP_CHARS = 1 << 18  # so many characters are encoded together, or one longer text
 PIECES = 2_500_000  # pieces of text that a worker remembers: some 400 MB
 
 FILE = (
@@ -89,10 +91,12 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Pieces of a space or a line end and what follows it: joined, they stay apart."""
-        ids = self._whole("".join(pieces))
+        joined = "".join(pieces)
+        ids = self._whole(joined)
         ends = np.cumsum(self.lengths[ids])
-        sizes = np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in pieces), np.int64, len(pieces))
-        count = np.diff(np.searchsorted(ends, np.cumsum(sizes)) + 1, prepend=0)
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        starts = np.flatnonzero((raw == ord(" ")) | (raw == ord("\n")))
+        count = np.diff(np.searchsorted(ends, np.append(starts[1:], len(raw))) + 1, prepend=0)
         first, end = len(self.known), self.used + len(ids)
         while end > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
@@ -105,25 +109,40 @@ class Encoder:
         self.known.update(zip(pieces, range(first, first + len(pieces))))
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        single = len(text.split()) == text.count(" ") + text.count("\n") + 1
-        if not (self.pieces and single) or "\0" in text:
-            return self._whole(text)
-        # The line end put in front is one token, which is left out again.
-        pieces = ("\n" + text).replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
-        numbers = list(map(self.known.get, pieces))
-        if None in numbers:
-            missing = {p for p, n in zip(pieces, numbers) if n is None}
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; pieces of all the texts are looked up and encoded together."""
+        n_pieces = [t.count(" ") + t.count("\n") + 1 if self.pieces and "\0" not in t else 0 for t in texts]
+        single = [n > 0 and len(t.split()) == n for t, n in zip(texts, n_pieces)]
+        out = [None if s else self._whole(t) if t else np.zeros(0, np.uint32) for t, s in zip(texts, single)]
+        if any(single):
+            ids, counts = self._by_pieces("".join("\n" + t for t, s in zip(texts, single) if s))
+            firsts = np.cumsum([0, *(n for n, s in zip(n_pieces, single) if s)])[:-1]
+            sizes = np.add.reduceat(counts, firsts)
+            ends = np.cumsum(sizes)
+            # The line end put in front of a text is one token, which is left out again.
+            for i, begin, end in zip(np.flatnonzero(single).tolist(), (ends - sizes + 1).tolist(), ends.tolist()):
+                out[i] = ids[begin:end]
+        return out
+
+    def _by_pieces(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each piece has."""
+        pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
+        own = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        places = np.flatnonzero(own < 0)
+        if len(places):
+            absent = [pieces[i] for i in places.tolist()]
+            missing = list(dict.fromkeys(absent))
             if self.known and len(self.known) + len(missing) > PIECES:
                 self._forget()
-                missing = set(pieces)
-            self._learn(list(missing))
-            numbers = list(map(self.known.__getitem__, pieces))
-        own = np.array(numbers, np.int64)
+                places, absent, missing = slice(None), pieces, list(dict.fromkeys(pieces))
+            self._learn(missing)
+            own[places] = np.fromiter(map(self.known.__getitem__, absent), np.int64, len(absent))
         sizes = self.size[own]
-        shift = self.at[own] - (np.cumsum(sizes) - sizes)
-        return self.flat[np.repeat(shift, sizes) + np.arange(sizes.sum())][1:]
+        ends = np.cumsum(sizes)
+        shift = self.at[own] - (ends - sizes)
+        return self.flat[np.repeat(shift, sizes) + np.arange(ends[-1])], sizes
 
 
 def encoder(path: str) -> Encoder:
@@ -155,14 +174,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2)
             }
             return pa.RecordBatch.from_pylist([row], _file_schema())
 
+        held = 0
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                names.append(name)
-                parts.append(np.append(coder.encode(text.as_py() or ""), np.uint32(end_id)))
-                if sum(map(len, parts[-1:])) + (held := sum(map(len, parts[:-1]))) >= BLOCK_IDS:
-                    yield close()
-                    block, start = block + 1, start + held + len(parts[-1])
-                    names, parts = [], []
+            for doc_ids, texts in _groups(batch):
+                for name, ids in zip(doc_ids, coder.encode_many(texts)):
+                    names.append(name)
+                    parts.append(np.append(ids, np.uint32(end_id)))
+                    held += len(parts[-1])
+                    if held >= BLOCK_IDS:
+                        yield close()
+                        block, start = block + 1, start + held
+                        names, parts, held = [], [], 0
         if parts:
             yield close()
 
@@ -173,6 +195,20 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2)
     return path
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of neighbouring documents, some ``GROUP_CHARS`` at a time."""
+    doc_ids, texts, size = [], [], 0
+    for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        doc_ids.append(name)
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size >= GROUP_CHARS:
+            yield doc_ids, texts
+            doc_ids, texts, size = [], [], 0
+    if texts:
+        yield doc_ids, texts
+
+
 def _file_schema() -> pa.Schema:
     long = pa.int64()
     return pa.schema(
