@@ -24,9 +24,11 @@ from tallyvec.sources.stage import BROADCAST_BYTES, write_stage
 # Fixed value: extra basis vectors of the randomised method.
 OVERSAMPLE = 10
 
-# Directions whose squared singular value falls below this share of the largest one are
-# numerically absent.
-RANK_TOLERANCE = 1e-13
+# Directions below this share of the largest one, times the dimensions, are rounding noise.
+NOISE = 64 * float(np.finfo(np.float64).eps)
+
+# Tasks that reduce the triangles of the tasks before them.
+TRIANGLES = 16
 
 
 def sparse_dot(
@@ -52,26 +54,33 @@ def sparse_dot(
     return from_panels(sum_panels(parts, n_dims, "weight"), n_dims)
 
 
-def gram(dense: DataFrame, n_dims: int) -> np.ndarray:
-    """``denseᵀ dense`` on the driver; the partial products are summed on the executors."""
+def triangle(dense: DataFrame, n_dims: int) -> np.ndarray:
+    """R of a QR decomposition of a dense table, on the driver.
 
-    def partial(batches):
-        total = np.zeros((n_dims, n_dims))
+    Every task reduces its rows to one triangle, a second round of tasks reduces up to
+    ``TRIANGLES`` of these, and the driver the few that remain. Unlike the square of the
+    table, R keeps directions that are small beside the largest one.
+    """
+
+    def reduced(batches):
+        held = np.zeros((0, n_dims))
         for batch in batches:
-            block = list_matrix(batch.column(0), n_dims)
-            total += block.T @ block
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(n_dims, dtype=np.int32)), list_vectors(total)], ["i", "vec"]
-        )
+            if batch.num_rows:
+                held = np.linalg.qr(np.vstack([held, list_matrix(batch.column(0), n_dims)]), mode="r")
+        if len(held):
+            yield pa.RecordBatch.from_arrays([list_vectors(held)], ["vec"])
 
-    parts = dense.select("vec").mapInArrow(partial, "i int, vec array<double>")
-    sums = parts.select("i", F.posexplode("vec").alias("j", "x")).groupBy("i", "j").agg(
-        F.sum("x").alias("x")
-    )
-    out = np.zeros((n_dims, n_dims))
-    for i, j, x in sums.collect():
-        out[i, j] = x
-    return (out + out.T) / 2
+    parts = dense.select("vec").mapInArrow(reduced, "vec array<double>")
+    # All rows of a triangle, or parts of it, may go anywhere: only their squares count.
+    parts = parts.repartition(TRIANGLES).mapInArrow(reduced, "vec array<double>")
+    rows = [r["vec"] for r in parts.collect()]
+    return np.linalg.qr(np.array(rows).reshape(-1, n_dims), mode="r") if rows else np.zeros((1, n_dims))
+
+
+def gram(dense: DataFrame, n_dims: int) -> np.ndarray:
+    """``denseᵀ dense`` on the driver."""
+    upper = triangle(dense, n_dims)
+    return upper.T @ upper
 
 
 def transform_rows(dense: DataFrame, factor: np.ndarray) -> DataFrame:
@@ -95,11 +104,11 @@ def _random_basis(keys: DataFrame, n_dims: int, seed: int) -> DataFrame:
     return keys.selectExpr(key, f"array({', '.join(numbers)}) AS vec")
 
 
-def _whitening(square: np.ndarray) -> np.ndarray:
-    """T such that (Z T) has orthonormal columns, given ZᵀZ; absent directions are left out."""
-    values, vectors = np.linalg.eigh(square)
-    present = values > RANK_TOLERANCE * max(values[-1], 0.0)
-    return vectors[:, present] / np.sqrt(values[present])
+def _directions(upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values of a triangle and its right vectors, without those that are rounding noise."""
+    _, values, vectors = np.linalg.svd(upper)
+    present = values > len(vectors) * NOISE * values[0]
+    return values[present], vectors[: len(values)][present].T
 
 
 def orthonormalise(dense: DataFrame, n_dims: int, rounds: int = 2) -> tuple[DataFrame, int]:
@@ -109,7 +118,8 @@ def orthonormalise(dense: DataFrame, n_dims: int, rounds: int = 2) -> tuple[Data
     """
     factor = np.eye(n_dims)
     for _ in range(rounds):
-        factor = factor @ _whitening(gram(transform_rows(dense, factor), factor.shape[1]))
+        values, vectors = _directions(triangle(transform_rows(dense, factor), factor.shape[1]))
+        factor = factor @ (vectors / values)
     return transform_rows(dense, factor), factor.shape[1]
 
 
@@ -156,9 +166,9 @@ def truncated_svd(
 ) -> tuple[DataFrame, list[float], DataFrame]:
     """``U(row, vec)``, the singular values in falling order, and ``V(col, vec)``.
 
-    Block subspace iteration on MᵀM from a fixed random start. A pass is one job: the
-    product with the basis feeds the product with the transpose, and the small Gram matrix
-    of the result gives the next orthonormal basis. Rows and columns without entries are
+    Block subspace iteration from a fixed random start. A pass multiplies the basis by the
+    matrix and the result by the transpose; after each of the two products the basis is made
+    orthonormal, so that components far smaller than the largest are not lost. Rows and columns without entries are
     absent from the result, like zeros. Each column of V has a positive entry of largest
     magnitude.
     """
@@ -174,16 +184,15 @@ def truncated_svd(
     dims = size
     basis = _random_basis(cells.select("col").distinct(), size, seed)
     for step in range(n_iter + 1):
-        product = down.dot(across.dot(to_panels(basis, dims), dims), dims)
-        right = write_stage(from_panels(product, dims), f"svd-basis-{step}")
+        left = write_stage(from_panels(across.dot(to_panels(basis, dims), dims), dims), f"svd-left-{step}")
         # Between passes only the span matters.
+        left, dims = orthonormalise(left, dims, rounds=1)
+        right = write_stage(from_panels(down.dot(to_panels(left, dims), dims), dims), f"svd-basis-{step}")
         basis, dims = orthonormalise(right, dims, rounds=2 if step == n_iter else 1)
     left = write_stage(from_panels(across.dot(to_panels(basis, dims), dims), dims), "svd-left")
 
-    values, vectors = np.linalg.eigh(gram(left, dims))
-    order = np.argsort(values)[::-1][:n_components]
-    order = order[values[order] > RANK_TOLERANCE * max(values[-1], 0.0)]
-    sigma, rotation = np.sqrt(values[order]), vectors[:, order]
+    sigma, rotation = _directions(triangle(left, dims))
+    sigma, rotation = sigma[:n_components], rotation[:, :n_components]
     signs = _sign_of_largest(transform_rows(basis, rotation), rotation.shape[1])
     rotation = rotation * signs
     u = transform_rows(left, rotation / sigma)

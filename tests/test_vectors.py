@@ -186,3 +186,13 @@ def test_distance_shifts(spark):
         want = shift[:, -topk:].mean(axis=1)
         got = distance_shifts(dense(spark, plain), dense(spark, labelled), 40, 3, topk)
         assert np.allclose([r["influence"] for r in got.orderBy("row").collect()], want)
+
+
+def test_small_components_are_not_lost(spark):
+    """Half a dozen powers of ten below the largest, components keep their values."""
+    values = [10.0**-i for i in range(8)] + [5e-9] * 22
+    table = spark.createDataFrame([(i, i, v) for i, v in enumerate(values)], "row int, col int, v double")
+    u, sigma, v = truncated_svd(table, 8, 30, 30)
+    assert np.allclose(sigma, values[:8], rtol=1e-6, atol=0)
+    assert np.allclose(np.abs(array_of(u, 30)), np.eye(30)[:, :8], atol=1e-5)
+    assert np.allclose(np.abs(array_of(v, 30)), np.eye(30)[:, :8], atol=1e-5)
