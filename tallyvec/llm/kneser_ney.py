@@ -1,12 +1,13 @@
 """Quality by an interpolated modified Kneser-Ney model of characters.
 
-Grams of four characters are counted over the trusted documents and summed in shards. The
+Grams of characters are counted over the trusted documents and summed in shards. The
 probabilities of the grams that the corpus asks for are put together by joins with the
 sharded counts, order by order, and go back to the chunks of documents that asked. A
 document's perplexity is judged by a quantile of its language among trusted documents
 that the model has not seen.
 
-A gram is one 64-bit number of four 16-bit characters (those beyond count as one).
+A gram is one 64-bit number. The characters of the trusted texts are numbered, all others are
+one: up to 1,020 of them fit six times into a gram, up to 4,092 five times, more four times.
 """
 
 from __future__ import annotations
@@ -23,26 +24,46 @@ from pyspark.sql import functions as F
 from tallyvec.llm.ballots import CELLS, cell_table, deflate, inflate
 from tallyvec.sources.stage import write_stage
 
-ORDER = 4
-START, END = 2, 3  # characters that open and close a text
+ORDER, WIDTH = 4, 16  # of a gram of plain code points: characters, and bits of each
+SHAPES = ((6, 10), (5, 12), (4, 16))  # of a gram of numbered characters: the first that holds them
+UNSEEN, START, END = 1, 2, 3  # numbers of a character never trained on, and of a text's ends
 HELD_OUT = 3  # one in so many trusted documents sets thresholds instead of training
 QUANTILE = 0.99  # of the perplexities of trusted documents, by language
-SLACK = 1.0  # times the way from their median to that quantile, added on top
-PRIOR = 100  # characters of average text that every document is credited with
 CHUNK_BYTES = 4 << 20
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of all texts end to end, and how many each text has (its length and one)."""
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _shape(alphabet: np.ndarray) -> tuple[int, int]:
+    """Characters in a gram, and bits of each, for so many known characters."""
+    return next((s for s in SHAPES if len(alphabet) + END < 1 << s[1]), SHAPES[-1])
+
+
+def _grams(texts: list[str], alphabet: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of all texts end to end, and how many each text has (its length and one).
+
+    Characters are numbered by their place in ``alphabet``, or are their code points without one.
+    """
+    order, width = (ORDER, WIDTH) if alphabet is None else _shape(alphabet)
     sizes = np.array([len(t) for t in texts], np.int64) + 1
-    around = chr(END) + chr(START) * (ORDER - 1)
-    line = chr(START) * (ORDER - 1) + around.join(texts) + chr(END)
-    units = np.minimum(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF).astype(np.uint64)
-    n = len(units) - ORDER + 1
+    units = _points("\0" * (order - 1) + ("\0" * order).join(texts) + "\0")
+    if alphabet is None:
+        units = np.minimum(units, (1 << width) - 1).astype(np.uint64)
+    else:
+        known = alphabet[: (1 << width) - END - 1]
+        numbers = np.full(0x110000, UNSEEN, np.uint64)
+        numbers[known] = np.arange(END + 1, END + 1 + len(known))
+        units = numbers[units]
+    starts = np.cumsum(sizes + order - 1) - (sizes + order - 1)
+    for i in range(order - 1):
+        units[starts + i] = START
+    units[starts + order - 2 + sizes] = END
+    n = len(units) - order + 1
     keys = np.zeros(n, np.uint64)
-    for i in range(ORDER):
-        keys |= units[i : i + n] << np.uint64(16 * (ORDER - 1 - i))
-    starts = np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1)
+    for i in range(order):
+        keys |= units[i : i + n] << np.uint64(width * (order - 1 - i))
     own = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
     return keys[own], sizes
 
@@ -104,14 +125,14 @@ def _texts(table: pa.Table) -> list[str]:
     return [x or "" for x in table["text"].to_pylist()]
 
 
-def _model(grams: DataFrame) -> tuple[list[DataFrame], list[DataFrame | None], float]:
-    """By order 1 to 4: ``(gram, f)`` discounted shares, ``(gram, g)`` the context's rest.
+def _model(grams: DataFrame, longest: int = ORDER, width: int = WIDTH) -> tuple[list[DataFrame], list[DataFrame | None], float, int]:
+    """By order 1 to ``longest``: ``(gram, f)`` discounted shares, ``(gram, g)`` the context's rest.
 
-    Also what the first order leaves to each character, seen or not.
+    Also what the first order leaves to each character, seen or not, and the bits of a character.
     """
     counts = [grams.select("gram", "cnt")]
-    for order in range(ORDER - 1, 0, -1):  # continuation counts: how many characters stand before
-        tail = F.col("gram").bitwiseAND(F.lit((1 << (16 * order)) - 1)).alias("gram")
+    for order in range(longest - 1, 0, -1):  # continuation counts: how many characters stand before
+        tail = F.col("gram").bitwiseAND(F.lit((1 << (width * order)) - 1)).alias("gram")
         counts.insert(0, write_stage(counts[0].select(tail).groupBy("gram").agg(F.count("*").alias("cnt")), f"kn-{order}"))
     shares, rests = [], []
     spare = 1.0
@@ -131,22 +152,22 @@ def _model(grams: DataFrame) -> tuple[list[DataFrame], list[DataFrame | None], f
             shares.append(table.select("gram", ((F.col("cnt") - off) / total if total else F.lit(0.0)).alias("f")))
             rests.append(None)
             continue
-        context = F.shiftrightunsigned("gram", 16).alias("context")
+        context = F.shiftrightunsigned("gram", width).alias("context")
         sums = table.groupBy(context).agg(F.sum("cnt").alias("all"), F.sum(off).alias("taken"))
         sums = write_stage(sums, f"kn-context-{order}")
         rests.append(sums.select(F.col("context").alias("gram"), (F.col("taken") / F.col("all")).alias("g")))
         share = (F.col("cnt") - off) / F.col("all")
         shares.append(table.withColumn("context", context).join(sums, "context").select("gram", share.alias("f")))
-    return shares, rests, spare
+    return shares, rests, spare, width
 
 
 def _bits(asked: DataFrame, model) -> DataFrame:
     """``(shard, gram, bits)``: the surprise of distinct grams, by joins from the first order up."""
-    shares, rests, spare = model
+    shares, rests, spare, width = model
     table = asked
     p: Column | None = None
-    for order in range(1, ORDER + 1):
-        tail = F.col("gram") if order == ORDER else F.col("gram").bitwiseAND(F.lit((1 << (16 * order)) - 1))
+    for order in range(1, len(shares) + 1):
+        tail = F.col("gram") if order == len(shares) else F.col("gram").bitwiseAND(F.lit((1 << (width * order)) - 1))
         share = shares[order - 1].select(F.col("gram").alias("key"), F.col("f").alias(f"f{order}"))
         table = table.join(share, tail == F.col("key"), "left").drop("key")
         f = F.coalesce(f"f{order}", F.lit(0.0))
@@ -154,7 +175,7 @@ def _bits(asked: DataFrame, model) -> DataFrame:
             p = f + F.lit(spare)
             continue
         rest = rests[order - 1].select(F.col("gram").alias("key"), F.col("g").alias(f"g{order}"))
-        table = table.join(rest, F.shiftrightunsigned(tail, 16) == F.col("key"), "left").drop("key")
+        table = table.join(rest, F.shiftrightunsigned(tail, width) == F.col("key"), "left").drop("key")
         p = f + F.coalesce(f"g{order}", F.lit(1.0)) * p
     return table.select("shard", "gram", (-F.log2(p)).alias("bits"))
 
@@ -176,15 +197,29 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD_OUT)) == 0
     ids = write_stage(ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", held.alias("held")), "kn-trusted")
 
-    def count(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return cell_table([])
-        table = _unpack_docs(left)
+    def trained(left: pa.Table, right: pa.Table) -> list[str]:
         own = {i for i, h in zip(right["doc_id"].to_pylist(), right["held"].to_pylist()) if not h}
-        texts = [t or "" for i, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist()) if i in own]
+        if not left.num_rows or not own:
+            return []
+        table = _unpack_docs(left)
+        return [t or "" for i, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist()) if i in own]
+
+    def characters(left: pa.Table, right: pa.Table) -> pa.Table:
+        seen = [np.unique(_points(t)) for t in trained(left, right)]
+        return pa.table({"point": np.unique(np.concatenate([*seen, np.zeros(0, np.uint32)])).astype(np.int32)})
+
+    both = packed.groupBy("chunk").cogroup(ids.groupBy("chunk"))
+    # No more rows than there are characters in Unicode.
+    points = both.applyInArrow(characters, "point int").groupBy("point").agg(F.count("*").alias("n"))
+    points = points.orderBy(F.desc("n"), "point").select("point").toArrow()["point"]
+    alphabet = np.array(points.to_pylist(), np.int64)
+    longest, width = _shape(alphabet)
+
+    def count(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = trained(left, right)
         if not texts:
             return cell_table([])
-        grams, times = np.unique(_grams(texts)[0], return_counts=True)
+        grams, times = np.unique(_grams(texts, alphabet)[0], return_counts=True)
         return cell_table(_cells(key[0].as_py(), grams, shards, times))
 
     def add(table: pa.Table) -> pa.Table:
@@ -195,12 +230,12 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         np.add.at(sums, place, np.concatenate([c[1] for c in columns]).view(np.int64))
         return pa.table({"gram": distinct.view(np.int64), "cnt": sums})
 
-    counted = packed.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(count, CELLS)
-    grams = write_stage(counted.groupBy("bucket").applyInArrow(add, "gram long, cnt long"), "kn-4")
-    model = _model(grams)
+    counted = both.applyInArrow(count, CELLS)
+    grams = write_stage(counted.groupBy("bucket").applyInArrow(add, "gram long, cnt long"), f"kn-{longest}")
+    model = _model(grams, longest, width)
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        grams = np.unique(_grams(_texts(_unpack_docs(table)))[0])
+        grams = np.unique(_grams(_texts(_unpack_docs(table)), alphabet)[0])
         return cell_table(_cells(key[0].as_py(), grams, shards))
 
     def merge(table: pa.Table) -> pa.Table:
@@ -225,7 +260,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         table = _unpack_docs(left)
-        keys, sizes = _grams(_texts(table))
+        keys, sizes = _grams(_texts(table), alphabet)
         grams, place = np.unique(keys, return_inverse=True)
         own = _shard(grams, shards)
         bits = np.empty(len(grams))
@@ -250,26 +285,22 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """``(doc_id, tie, lang, n_chars, perplexity, threshold, kept, split)`` for every document.
 
-    ``perplexity`` is per character, in bits, with ``PRIOR`` characters of the language's
-    average mixed in, so that a short text is not judged by a few odd characters. The
-    threshold is a quantile of the held-out trusted documents of the language, and some
-    slack; a language without any (null is one) has none and keeps all.
+    ``perplexity`` is per character, in bits, the end of the text included. The threshold is a
+    quantile of the held-out trusted documents of the language, or of all languages for a
+    language without any (null is one); without any at all, everything is kept. Kept without a
+    judgement are texts without characters and the documents trained on: these are trusted by
+    their labels, and how a model fits its own texts does not compare with the held-out ones.
     Null texts are empty; repeated rows are scored alike, null ids never trusted; needs
     ``doc_id, lang, text``; no rows give none.
     """
     scored = write_stage(perplexity(docs, trusted), "kn-split")
-    held = scored.where("split = 'held'")
-    mean = write_stage(
-        held.groupBy(F.col("lang").alias("l")).agg((F.sum("bits") / F.sum(F.col("n_chars") + 1)).alias("mean")), "kn-means"
-    )
-    rated = scored.join(mean, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
-    level = (F.col("bits") + PRIOR * F.col("mean")) / (F.col("n_chars") + 1 + PRIOR)
-    rated = rated.withColumn("perplexity", F.coalesce(level, F.col("bits") / (F.col("n_chars") + 1)))
-    marks = rated.where("split = 'held'").groupBy(F.col("lang").alias("l")).agg(
-        F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10000)).alias("high"),
-        F.percentile_approx("perplexity", F.lit(0.5), F.lit(10000)).alias("mid"),
-    )
-    marks = write_stage(marks.select("l", (F.col("high") + SLACK * (F.col("high") - F.col("mid"))).alias("threshold")), "kn-marks")
+    rated = scored.withColumn("perplexity", F.col("bits") / (F.col("n_chars") + 1))
+    held = rated.where("split = 'held' and n_chars > 0")
+    quantile = F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10000))
+    marks = write_stage(held.groupBy(F.col("lang").alias("l")).agg(quantile.alias("own")), "kn-marks")
+    whole = held.agg(quantile.alias("whole")).first()["whole"]
     judged = rated.join(marks, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
-    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    judged = judged.withColumn("threshold", F.coalesce("own", F.lit(whole).cast("double")))
+    unjudged = (F.col("n_chars") == 0) | F.col("split").eqNullSafe(F.lit("train"))
+    kept = unjudged | F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return judged.select("doc_id", "tie", "lang", "n_chars", "perplexity", "threshold", kept.alias("kept"), "split")

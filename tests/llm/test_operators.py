@@ -309,6 +309,25 @@ def test_quality(spark):
     assert all(kept[i] for i, _ in good) and kept[901]  # a language without trusted documents keeps all
 
 
+def test_quality_of_fluent_letters(spark):
+    """Known words' letters in unknown words, short junk, half bad texts, a language without held-out documents."""
+    rng = random.Random(8)
+    words = "the of and that with over then other weather father".split()
+    good = [(i, "en", " ".join(rng.choice(words) for _ in range(60))) for i in range(300)]
+    strange = ["".join(rng.sample("thofandwiver", 6)) for _ in range(200)]
+    bad = [" ".join(rng.choice(strange) for _ in range(n)) for n in (6, 60, 300)]
+    bad.append(" ".join([rng.choice(words) for _ in range(40)] + [rng.choice(strange) for _ in range(20)]))
+    rows = [*good, *[(1000 + i, "en", t) for i, t in enumerate(bad)], *[(2000 + i, "xx", t) for i, t in enumerate(bad)]]
+    rows.append((3000, "xx", good[0][2]))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    trusted = spark.createDataFrame([(i,) for i in range(300)], "doc_id long")
+    got = {r.doc_id: r for r in kneser_ney.classify(docs, trusted).collect()}
+    held = sorted(r.perplexity for r in got.values() if r.split == "held")
+    assert held[-3] <= got[0].threshold <= held[-1]
+    assert not any(r.kept for r in got.values() if 1000 <= r.doc_id < 3000) and got[3000].kept
+    assert sum(got[i].kept for i, _, _ in good) >= 297
+
+
 def test_kneser_ney_sums_to_one(spark):
     """After any context, the probabilities of all characters and one unseen one add up to one."""
     text = "abracadabra abracadabra banana bandana cab"
