@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyvec.sources.stage import write_stage
 
-SCOPE = 200  # characters between the starts of linked parts, at most
+SCOPE = 200  # characters between the end of a part and the start of one linked to it, at most
 
 # The strong patterns, in the order in which ties are listed.
 VALUE = "[A-Za-z0-9+/_.=-]+"
@@ -26,15 +26,16 @@ BASE = {
     "hex": ("[0-9a-f]{16,}", lambda m: F.char_length(m) >= 16),
 }
 # Weak parts: reported only with what completes them.
-EDGE = "(?<![A-Za-z0-9+/_=.-])"
+RUN = "[A-Za-z0-9+/_=-]++"
 WEAK = {
     "identifier": (
         "(?i:\\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?))[\"']?\\x20*[:=]\\x20*[\"']?"
         "[A-Za-z0-9_.@-]{3,}", lambda m: F.lit(True),
     ),
     "token": (
-        EDGE + "[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=.-])",
-        lambda m: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]"),
+        # Dots may join runs, as in a JWT; one at the end is a full stop.
+        "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_.=-]{20})" + RUN + "(?:\\." + RUN + ")*+",
+        lambda m: (F.char_length(m) >= 20) & m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]"),
     ),
     "endpoint": ("(?i:https?|ftp|jdbc:[a-z]+|redis|mongodb|amqp)://[^\\x20\\x09-\\x0D\"'<>]+", lambda m: F.lit(True)),
 }
@@ -87,31 +88,46 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     found = write_stage(found, "secret-spans")
     mixed = found.where(F.size("weak") > 0).select("row", "strong", "weak")
     parts = mixed.select("row", F.explode(F.concat("strong", "weak")).alias("s")).select("row", "s.*")
-    parts = parts.withColumn("cell", F.floor(F.col("start") / scope))
+
+    def cell(at: str) -> Column:
+        return F.floor(F.col(at) / scope)
 
     def within(candidates: DataFrame, kinds: list[str]) -> DataFrame:
-        """Candidates that have a part of ``kinds`` in their scope; touching spans are the same part."""
+        """Candidates that have a part of ``kinds`` in their scope, some twice; overlapping spans are the same part.
+
+        What counts is the gap from the end of one part to the start of the next, however long
+        they are: a candidate's end meets the starts after it, its start the ends before it.
+        """
+        def meeting(after: bool, at: str, cells: list[Column]) -> Column:
+            return F.transform(F.array(*cells), lambda c: F.struct(F.lit(after).alias("after"), F.col(at).alias("at"), c.alias("cell")))
+
         wanted = parts.where(F.col("rank").isin([KINDS.index(k) for k in kinds])).select(
-            F.col("row").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"),
-            F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("c"),
+            F.col("row").alias("r"),
+            F.explode(F.concat(
+                meeting(True, "start", [cell("start") - 1, cell("start")]),
+                meeting(False, "end", [cell("end"), cell("end") + 1]),
+            )).alias("w"),
+        )
+        ends = candidates.withColumn(
+            "p", F.explode(F.concat(meeting(True, "end", [cell("end")]), meeting(False, "start", [cell("start")])))
         )
+        gap = F.when(F.col("p.after"), F.col("w.at") - F.col("p.at")).otherwise(F.col("p.at") - F.col("w.at"))
         near = (
-            (F.col("row") == F.col("r")) & (F.col("cell") == F.col("c"))
-            & (F.abs(F.col("start") - F.col("s")) <= scope)
-            & ((F.col("end") <= F.col("s")) | (F.col("e") <= F.col("start")))
+            (F.col("row") == F.col("r")) & (F.col("p.after") == F.col("w.after")) & (F.col("p.cell") == F.col("w.cell"))
+            & gap.between(0, scope)
         )
-        return candidates.join(wanted, near, "left_semi")
+        return ends.join(wanted, near, "left_semi").drop("p")
 
     def of(kind: str) -> DataFrame:
         return parts.where(F.col("rank") == KINDS.index(kind))
 
-    secrets, names = ["assign", "token"], ["access", "identifier"]
+    secrets, names = ["assign", "hex", "token"], ["access", "identifier"]
     linked = (
         within(of("identifier"), secrets)
         .unionByName(within(of("token"), names))
         .unionByName(within(within(of("endpoint"), secrets), names))
     )
-    gathered = linked.groupBy("row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("linked"))
+    gathered = linked.groupBy("row").agg(F.collect_set(F.struct("start", "rank", "end")).alias("linked"))
     whole = found.join(gathered, "row", "left")
     spans = F.concat("strong", F.coalesce("linked", F.array().cast(SPAN)))
     def count(rank: int, kind: str) -> Column:

@@ -225,6 +225,22 @@ def test_secrets(spark):
     assert "endpoint:0:" in got[5].spans and "identifier:20:" in got[5].spans and got[6].spans == ""
 
 
+def test_secrets_are_linked_by_gaps(spark):
+    """Hex completes, length does not count, dots join; a gap of more than the scope parts."""
+    low, jwt = "0af1" * 6, "eyJhbGciOiJI.eyJzdWIiOiIx." + "aB3_" * 4
+    rows = [
+        (0, f"client_id: bob and {low}"), (1, f"https://h.example/x login=bob {low}"), (2, f"{'aB3' * 200} user: bob"),
+        (3, f"user: bob {jwt}. Then"), (4, f"{jwt} alone"), (5, f"user: bob{' ' * 200}{low}"), (6, f"user: bob{' ' * 201}{low}"),
+        (7, f"{low}{' ' * 200}user: bob"), (8, f"{low}{' ' * 201}user: bob"), (9, "this.is.a.Sentence.of.4.words.user: bob"),
+    ]
+    got = {r.doc_id: r.spans for r in secrets.scan(table(spark, rows)).collect()}
+    assert "identifier:0:14" in got[0] and got[4] == ""
+    assert got[1] == "endpoint:0:19,identifier:20:29,hex:30:54"
+    assert got[2] == "token:0:600,identifier:601:610"
+    assert got[3] == f"identifier:0:9,token:10:{10 + len(jwt)}"
+    assert [("identifier" in got[i]) for i in (5, 6, 7, 8)] == [True, False, True, False]
+
+
 def test_html_text(spark):
     body = "<p>One &amp; <b>t</b>wo\n three.</p><aside>No</aside><ul><li>item<li>next</ul><!-- <p>no</p> --><p>Last"
     page = '<html><body><nav>Menu</nav><div class="post-12"><h1>T</h1>{}</div><div class="comments"><p>{}</p></div></body>'
