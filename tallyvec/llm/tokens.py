@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -57,8 +58,9 @@ class Encoder:
 
     A byte-level pre-tokenizer never joins what stands left and right of a single space or
     line end between two other characters, and never gives that to the left. So a text in which all
-    white space is of that kind is put together from pieces; other texts, and all texts of
-    other kinds of tokenizers, are encoded as they are. Pieces not met before are encoded in
+    white space is of that kind is put together from pieces; other texts, those that hold an
+    added token such as ``<|endoftext|>``, and all texts of other kinds of tokenizers, are
+    encoded as they are. Pieces not met before are encoded in
     one go: the lengths of the tokens in bytes tell where a piece ends.
     """
 
@@ -67,7 +69,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self._many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         made = json.loads(self.tokenizer.to_str())
@@ -76,6 +77,10 @@ class Encoder:
             before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
             and not made.get("normalizer")
         )
+        added = [x["content"] for x in made.get("added_tokens") or [] if x["content"]]
+        # One with white space could stand across pieces or texts.
+        self.pieces = self.pieces and not any(re.search(r"[ \n\0]", x) for x in added)
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.lengths = np.zeros(1 << self.bits, np.int64)  # a byte is one character of a token
         for token, number in self.tokenizer.get_vocab().items():
             self.lengths[number] = len(token)
@@ -114,7 +119,7 @@ class Encoder:
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; pieces of all the texts are looked up and encoded together."""
         n_pieces = [t.count(" ") + t.count("\n") + 1 if self.pieces and "\0" not in t else 0 for t in texts]
-        single = [n > 0 and len(t.split()) == n for t, n in zip(texts, n_pieces)]
+        single = [n > 0 and len(t.split()) == n and not self.added.search(t) for t, n in zip(texts, n_pieces)]
         out = [None if s else self._whole(t) if t else np.zeros(0, np.uint32) for t, s in zip(texts, single)]
         if any(single):
             ids, counts = self._by_pieces("".join("\n" + t for t, s in zip(texts, single) if s))

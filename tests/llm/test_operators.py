@@ -106,6 +106,17 @@ def test_tokens_round_trip(spark, tmp_path):
         at += r.n_tokens
 
 
+def test_added_tokens_in_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.TOKENIZER)
+    coder, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    made = ["end <|endoftext|> next", "plain words here", "a<|endoftext|>", "<|endoftext|>", "<|endoftext| > no", "\t <|endoftext|>\n\n"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in made]
+    assert [x.tolist() for x in coder.encode_many(made)] == want
+    assert want[3] == [50256]
+
+
 @pytest.mark.parametrize("bits", [1, 5, 16, 17, 32])
 def test_packing_and_random_access(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1001, dtype=np.uint64).astype(np.uint32)
