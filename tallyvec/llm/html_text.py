@@ -1,9 +1,10 @@
 """Main text of web pages by consensus paths of a host.
 
-Each page's containers are scored by the running text that stands in them, links apart.
-The containers' tag and class paths, numbers generalised, are voted on by all pages of a
-host. Then each page is read again: the text is that of the elements on the path that its
-host prefers, or of the page's own best container where it has none of those.
+Each page names the lowest container that holds all its running text, links and furniture
+apart, or all that of its articles where these hold most. The containers' tag and class
+paths, numbers generalised, are voted on by all pages of a host. Then each page is read
+again: the text is that of the elements on the path that its host prefers, widened to the
+page's own container where that lies around it, or is the latter where it has none of those.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from tallyvec.sources.stage import write_stage
 
-PATHS = 5  # paths of a host tried in turn before a page's own best container
-ENOUGH = 0.3  # share of the page's best container that a path's text must reach
+PATHS = 5  # paths of a host tried in turn before a page's own container
+ENOUGH = 0.3  # share of the text of the page's own container that a path's must reach
+MOST = 0.5  # share of a page's text from which its articles are the page
+WHOLE = frozenset(("", ">html", ">body", ">html>body"))
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
@@ -136,10 +139,7 @@ def _holder(node: _Node) -> _Node | None:
 
 
 def read(page: str | None) -> tuple[list[tuple[str, str]], dict[str, float]]:
-    """The prose pieces of a page with the paths of their containers, and the paths' scores.
-
-    A piece gives its length to its container and half of it to the container above.
-    """
+    """The prose pieces of a page with the paths of their containers, and the length of each path's prose."""
     pieces: list[tuple[str, str]] = []
     scores: dict[str, float] = {}
     for text, node in _pieces(page or ""):
@@ -152,16 +152,54 @@ def read(page: str | None) -> tuple[list[tuple[str, str]], dict[str, float]]:
         pieces.append((text, path))
         if text and not node.link and (size := len(text.strip())):
             scores[path] = scores.get(path, 0.0) + size
-            above = _holder(holder.parent) if holder else None
-            if above:
-                scores[above.path] = scores.get(above.path, 0.0) + size / 2
     return pieces, scores
 
 
+def _under(path: str, above: str) -> bool:
+    return path == above or path.startswith(above + ">") or not above
+
+
+def _size(scores: dict[str, float], path: str) -> float:
+    return sum(s for p, s in scores.items() if _under(p, path))
+
+
+def _article(path: str) -> str | None:
+    """The outermost article or main element on a path."""
+    steps = path.split(">")
+    for i, step in enumerate(steps):
+        if step.split(".")[0] in ("article", "main"):
+            return ">".join(steps[: i + 1])
+    return None
+
+
+def container(scores: dict[str, float]) -> str:
+    """The path of the lowest container of all prose, or of that in articles if it is most."""
+    articles = {a for p in scores if (a := _article(p)) is not None}
+    inside = [p for p in scores if _article(p) is not None]
+    if sum(scores[p] for p in inside) >= MOST * sum(scores.values()):
+        paths = list(articles) if len(articles) > 1 else inside
+    else:
+        paths = list(scores)
+    shared = paths[0].split(">")
+    for path in paths[1:]:
+        steps = path.split(">")
+        n = next((i for i, (a, b) in enumerate(zip(shared, steps)) if a != b), min(len(shared), len(steps)))
+        shared = shared[:n]
+    return ">".join(shared)
+
+
+def chosen(scores: dict[str, float], paths: list[str]) -> str:
+    """A page's path: the first of its host's that holds enough, or its own; the wider of the two below the body."""
+    own = container(scores)
+    most = _size(scores, own)
+    path = next((p for p in paths if _size(scores, p) >= ENOUGH * most), own)
+    return own if own not in WHOLE and _under(path, own) else path
+
+
 def text_of(pieces: list[tuple[str, str]], path: str) -> str:
     """The text under ``path``: blocks trimmed, white space made one space."""
     inside = path + ">"
-    parts = [html.unescape(t) if t else " " for t, p in pieces if p == path or p.startswith(inside) or not t]
+    parts = [html.unescape(t) if t else " " for t, p in pieces if p == path or p.startswith(inside) or not path or not t]
     return " ".join("".join(parts).split())
 
 
@@ -177,10 +215,10 @@ def vote(pages: DataFrame) -> DataFrame:
             hosts, paths, shares = [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 _, scores = read(page.as_py())
-                total = sum(scores.values())
-                hosts += [host] * len(scores)
-                paths += scores
-                shares += [round(1000 * s / total) for s in scores.values()]
+                if scores:
+                    hosts.append(host)
+                    paths.append(container(scores))
+                    shares.append(1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shares, pa.int64())],
                 ["host", "path", "votes"],
@@ -214,9 +252,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 if not scores:
                     texts.append("")
                     continue
-                most = max(scores.values())
-                good = (p for p in paths or () if scores.get(p, 0.0) >= ENOUGH * most)
-                texts.append(text_of(pieces, next(good, max(scores, key=scores.get))))
+                texts.append(text_of(pieces, chosen(scores, paths or [])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]
             )

@@ -267,6 +267,21 @@ def test_html_text(spark):
     assert [text[i] for i in (4, 5, 6, 7)] == ["", "", "", "plain text"]
 
 
+def test_html_articles_in_unequal_sections(spark):
+    """All of an article's sections stay, small ones too, also where most pages of the host have one section."""
+    intro, body = "<p>" + "intro " * 3 + "</p>", "<p>" + "body " * 200 + "</p>"
+    both = '<section class="intro">{}</section><section class="body">{}</section>'.format(intro, body)
+    one = f'<section class="body">{body}</section>'
+    page = '<html><body><nav>Menu</nav>{}<div class="ad">buy</div><footer>foot</footer></body></html>'
+    whole = " ".join(["intro"] * 3 + ["body"] * 200)
+    rows = [(i, f"http://a.example/{i}", page.format(f"<article>{both if i < 3 else one}</article>")) for i in range(10)]
+    rows += [(10, "http://b.example/", page.format(f'<div class="post">{both}</div>')), (11, "http://c.example/", page.format(both))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in html_text.extract(frame).collect()}
+    assert all(text[i] == whole for i in (0, 1, 2, 10, 11))
+    assert all(text[i] == " ".join(["body"] * 200) for i in range(3, 10))
+
+
 def test_statistics_and_outliers(spark):
     docs = table(spark)
     rng = random.Random(2)
