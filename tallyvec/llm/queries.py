@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvec.llm import (
-    decontaminate, html_text, kneser_ney, mixing, outliers, secrets, simhash, substring_dedup, suffix_dedup, tokens,
+    alignment, decontaminate, html_text, kneser_ney, mixing, outliers, secrets, simhash, substring_dedup, suffix_dedup, tokens,
 )
 from tallyvec.sources.stage import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +101,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and scores of two tokenizers over every document."""
+    a, b = public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES)
+    return alignment.align(_table(spark, sf_dir, "documents"), a, b)[0]
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -111,5 +118,6 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_outliers": op9_outliers,
     "op10_mixing": op10_mixing,
+    "op11_alignment": op11_alignment,
 }
 ORACLES: dict[str, str] = {}
