@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvec.llm import (
-    alignment, decontaminate, html_text, kneser_ney, mixing, outliers, secrets, simhash, substring_dedup, suffix_dedup, tokens,
+    alignment, decontaminate, html_text, kneser_ney, mixing, outliers, resampling, secrets, simhash, substring_dedup, suffix_dedup, tokens,
 )
 from tallyvec.sources.stage import shared_folder
 
@@ -107,6 +107,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), a, b)[0]
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents drawn towards the words of the benchmark."""
+    out = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -119,5 +125,6 @@ QUERIES = {
     "op9_outliers": op9_outliers,
     "op10_mixing": op10_mixing,
     "op11_alignment": op11_alignment,
+    "op13_importance": op13_importance,
 }
 ORACLES: dict[str, str] = {}
