@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvec.llm import (
-    alignment, decontaminate, html_text, kneser_ney, mixing, outliers, resampling, secrets, simhash, substring_dedup, suffix_dedup, tokens,
+    alignment, decontaminate, html_text, jaccard_tree, kneser_ney, mixing, outliers, resampling, secrets, simhash,
+    substring_dedup, suffix_dedup, tokens,
 )
 from tallyvec.sources.stage import shared_folder
 
@@ -107,6 +108,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), a, b)[0]
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles are nine tenths alike."""
+    return jaccard_tree.jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the documents drawn towards the words of the benchmark."""
     out = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -125,6 +131,7 @@ QUERIES = {
     "op9_outliers": op9_outliers,
     "op10_mixing": op10_mixing,
     "op11_alignment": op11_alignment,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_importance": op13_importance,
 }
 ORACLES: dict[str, str] = {}
