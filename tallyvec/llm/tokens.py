@@ -19,18 +19,21 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyvec.llm.worker import kept
+
 BLOCK_IDS = 1 << 17  # a block is closed at so many ids; a document is never cut
-GROUP_CHARS = 1 << 18  # so many characters are encoded together, or one longer text
-PIECES = 2_500_000  # pieces of text that a worker remembers: some 400 MB
+GROUP_CHARS = 1 << 21  # so many characters are encoded together, or one longer text
+PIECES = 1_500_000  # pieces of text that a worker remembers: some 250 MB
+LEARNT = 1 << 15  # pieces encoded at once
 
 FILE = (
     "shard int, block int, start long, doc_ids array<long>, counts array<long>, bits int, n_ids long, payload binary"
 )
-_encoders: dict[str, "Encoder"] = {}
 
 
 def pack_ids(ids: np.ndarray, bits: int) -> bytes:
@@ -53,15 +56,22 @@ def unpack_ids(payload: bytes, bits: int, n: int, start: int = 0) -> np.ndarray:
     return np.packbits(out, axis=1).view(">u4").reshape(-1).astype(np.uint32)
 
 
+# White space of Unicode but for the space and the line end, and what some tables count as white space.
+ODD_SPACE = (
+    r"\x00\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}"
+)
+
+
 class Encoder:
     """A tokenizers file, with the encodings of pieces remembered.
 
     A byte-level pre-tokenizer never joins what stands left and right of a single space or
-    line end between two other characters, and never gives that to the left. So a text in which all
-    white space is of that kind is put together from pieces; other texts, those that hold an
-    added token such as ``<|endoftext|>``, and all texts of other kinds of tokenizers, are
-    encoded as they are. Pieces not met before are encoded in
-    one go: the lengths of the tokens in bytes tell where a piece ends.
+    line end between two other characters, and never gives that to the left. So a text whose only white
+    space is of that kind is put together from pieces, each with the space or line end before it; other
+    texts, those that hold an added token such as ``<|endoftext|>``, and all texts of
+    other kinds of tokenizers, are encoded as they are. Arrow finds the distinct pieces of
+    many documents. Those not met before are encoded in one go: the lengths of the tokens in bytes tell
+    where a piece ends.
     """
 
     def __init__(self, path: str):
@@ -79,8 +89,8 @@ class Encoder:
         )
         added = [x["content"] for x in made.get("added_tokens") or [] if x["content"]]
         # One with white space could stand across pieces or texts.
-        self.pieces = self.pieces and not any(re.search(r"[ \n\0]", x) for x in added)
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.pieces = self.pieces and not any(re.search(r"\s|\0", x) for x in added)
+        self.whole = "|".join([f"[{ODD_SPACE}]", r"[ \n][ \n]", r"\A[ \n]", r"[ \n]\z", *map(re.escape, added)])
         self.lengths = np.zeros(1 << self.bits, np.int64)  # a byte is one character of a token
         for token, number in self.tokenizer.get_vocab().items():
             self.lengths[number] = len(token)
@@ -95,8 +105,9 @@ class Encoder:
         return np.array(self._many([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Pieces of a space or a line end and what follows it: joined, they stay apart."""
-        joined = "".join(pieces)
+        """Joined, pieces stay apart: each begins with a space or a line end, or is given one that is left out again."""
+        bare = np.array([p[0] not in " \n" for p in pieces])
+        joined = "".join(["\n" + p if b else p for p, b in zip(pieces, bare.tolist())])
         ids = self._whole(joined)
         ends = np.cumsum(self.lengths[ids])
         raw = np.frombuffer(joined.encode(), np.uint8)
@@ -108,8 +119,8 @@ class Encoder:
         while first + len(pieces) > len(self.at):
             self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
         self.flat[self.used : end] = ids
-        self.at[first : first + len(pieces)] = self.used + np.cumsum(count) - count
-        self.size[first : first + len(pieces)] = count
+        self.at[first : first + len(pieces)] = self.used + np.cumsum(count) - count + bare
+        self.size[first : first + len(pieces)] = count - bare
         self.used = end
         self.known.update(zip(pieces, range(first, first + len(pieces))))
 
@@ -118,42 +129,47 @@ class Encoder:
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; pieces of all the texts are looked up and encoded together."""
-        n_pieces = [t.count(" ") + t.count("\n") + 1 if self.pieces and "\0" not in t else 0 for t in texts]
-        single = [n > 0 and len(t.split()) == n and not self.added.search(t) for t, n in zip(texts, n_pieces)]
-        out = [None if s else self._whole(t) if t else np.zeros(0, np.uint32) for t, s in zip(texts, single)]
-        if any(single):
-            ids, counts = self._by_pieces("".join("\n" + t for t, s in zip(texts, single) if s))
-            firsts = np.cumsum([0, *(n for n, s in zip(n_pieces, single) if s)])[:-1]
-            sizes = np.add.reduceat(counts, firsts)
-            ends = np.cumsum(sizes)
-            # The line end put in front of a text is one token, which is left out again.
-            for i, begin, end in zip(np.flatnonzero(single).tolist(), (ends - sizes + 1).tolist(), ends.tolist()):
-                out[i] = ids[begin:end]
+        out: list[np.ndarray | None] = [None if t else np.zeros(0, np.uint32) for t in texts]
+        left = [i for i, t in enumerate(texts) if t]
+        column = pa.array([texts[i] for i in left], pa.large_string())
+        if self.pieces and left:
+            odd = pc.match_substring_regex(column, self.whole).to_numpy(zero_copy_only=False)
+        else:
+            odd = np.ones(len(left), bool)
+        for i in np.flatnonzero(odd).tolist():
+            out[left[i]] = self._whole(texts[left[i]])
+        if not odd.all():
+            ids, ends = self._by_pieces(column.filter(pa.array(~odd)))
+            begin = 0
+            for i, end in zip(np.flatnonzero(~odd).tolist(), ends.tolist()):
+                out[left[i]] = ids[begin:end]
+                begin = end
         return out
 
-    def _by_pieces(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each piece has."""
-        pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
-        own = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        places = np.flatnonzero(own < 0)
-        if len(places):
-            absent = [pieces[i] for i in places.tolist()]
-            missing = list(dict.fromkeys(absent))
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where those of each text end."""
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+        lists = pc.split_pattern(marked, "\0")
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        own = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(own < 0)
+        if len(missing):
             if self.known and len(self.known) + len(missing) > PIECES:
                 self._forget()
-                places, absent, missing = slice(None), pieces, list(dict.fromkeys(pieces))
-            self._learn(missing)
-            own[places] = np.fromiter(map(self.known.__getitem__, absent), np.int64, len(absent))
-        sizes = self.size[own]
+                missing = np.arange(len(distinct))
+            for start in range(0, len(missing), LEARNT):
+                self._learn([distinct[i] for i in missing[start : start + LEARNT].tolist()])
+            own[missing] = np.arange(len(self.known) - len(missing), len(self.known))
+        place = own[coded.indices.to_numpy()]
+        sizes = self.size[place]
         ends = np.cumsum(sizes)
-        shift = self.at[own] - (ends - sizes)
-        return self.flat[np.repeat(shift, sizes) + np.arange(ends[-1])], sizes
+        ids = self.flat[np.repeat(self.at[place] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        return ids, ends[lists.offsets.to_numpy()[1:] - 1]
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(("tokens", path), lambda: Encoder(path))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2) -> str:
