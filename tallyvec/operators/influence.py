@@ -8,10 +8,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvec.functions.vectors import unit_rows
-from tallyvec.operators.tiles import list_matrix
+from tallyvec.operators.grid import meet, pack
 
 WORD_BLOCK = 2_048
 
+# Differences computed at a time.
+SHIFT_CELLS = 1 << 22
+
+
+class _Shifts:
+    """The largest differences of the rows of a task, some thousand rows at a time."""
+
+    def __init__(self, ids: np.ndarray, pairs: np.ndarray, topk: int):
+        begins = range(0, len(ids), WORD_BLOCK)
+        self.ids = [ids[b : b + WORD_BLOCK] for b in begins]
+        self.sides = [np.hsplit(pairs[b : b + WORD_BLOCK], 2) for b in begins]
+        self.best = [np.empty((len(i), 0)) for i in self.ids]
+        self.topk = topk
+
+    def add(self, ids: np.ndarray, pairs: np.ndarray):
+        plain, labelled = np.hsplit(pairs, 2)
+        for n, (one, two) in enumerate(self.sides):
+            step = max(self.topk, SHIFT_CELLS // len(one))
+            for at in range(0, len(ids), step):
+                shift = one @ plain[at : at + step].T
+                shift -= two @ labelled[at : at + step].T
+                np.abs(shift, out=shift)
+                best = self.best[n]
+                if best.shape[1] == self.topk:
+                    # A column that reaches no row's smallest number changes nothing.
+                    shift = shift[:, (shift > best.min(axis=1, keepdims=True)).any(axis=0)]
+                best = np.concatenate([best, shift], axis=1)
+                if best.shape[1] > self.topk:
+                    best = -np.partition(-best, self.topk - 1, axis=1)[:, : self.topk]
+                self.best[n] = best
+        return iter(())
+
+    def finish(self):
+        for ids, best in zip(self.ids, self.best):
+            if best.shape[1]:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, best.shape[1])), pa.array(best.ravel())], ["row", "shift"]
+                )
+
 
 def distance_shifts(
     plain: DataFrame, labelled: DataFrame, n_rows: int, n_dims: int, topk: int = 100
@@ -21,78 +60,20 @@ def distance_shifts(
     The influence is the mean of the ``topk`` largest absolute differences between the
     cosine distances of a row to all rows, itself included, in one space and in the other.
 
-    Blocks of rows meet stripes of rows: every row is sent to each stripe once as a
-    subject and to each block once as a partner. A task keeps ``topk`` numbers per subject.
+    Blocks of rows, with their vectors of both spaces, meet in a grid of tasks. A task
+    keeps ``topk`` numbers for each row of its group, and sends them once.
     """
+    kind = plain.dtypes[0][1]
     both = plain.toDF("row", "plain").join(labelled.toDF("row", "labelled"), "row").select(
         "row", F.concat("plain", "labelled").alias("vec")
     )
-    blocks = max(1, -(-n_rows // WORD_BLOCK))
-    parallel = both.sparkSession.sparkContext.defaultParallelism
-    stripes = max(1, -(-2 * parallel // blocks))
-    subjects = both.select(
-        F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"),
-        F.lit(0).alias("is_partner"),
-        "row",
-        "vec",
-    )
-    partners = both.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64("row"), F.lit(stripes)).cast("int").alias("stripe"),
-        F.lit(1).alias("is_partner"),
-        "row",
-        "vec",
-    )
 
-    def halves(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return unit_rows(values[:, :n_dims]), unit_rows(values[:, n_dims:])
-
-    def finish(rows, best):
-        if best is not None and best.shape[1]:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(rows, best.shape[1])), pa.array(best.ravel())],
-                ["row", "shift"],
-            )
-
-    def run(batches):
-        here, rows, values, ready, best = None, [], [], None, None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            groups = np.stack(
-                [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1
-            )
-            borders = np.flatnonzero((groups[1:] != groups[:-1]).any(axis=1)) + 1
-            borders = [0, *borders.tolist(), batch.num_rows]
-            ids = batch.column(3).to_numpy(zero_copy_only=False)
-            vectors = list_matrix(batch.column(4), 2 * n_dims)
-            for begin, end in zip(borders[:-1], borders[1:]):
-                place = tuple(groups[begin, :2])
-                if place != here:
-                    yield from finish(rows, best)
-                    here, rows, values, ready, best = place, [], [], None, None
-                if not groups[begin, 2]:
-                    rows.append(ids[begin:end])
-                    values.append(vectors[begin:end])
-                elif values:
-                    if ready is None:
-                        rows = np.concatenate(rows)
-                        ready = halves(np.concatenate(values))
-                        best = np.empty((len(rows), 0))
-                    step = max(topk, (1 << 22) // len(rows))
-                    for at in range(begin, end, step):
-                        other = halves(vectors[at : min(end, at + step)])
-                        shift = np.abs(ready[0] @ other[0].T - ready[1] @ other[1].T)
-                        best = np.concatenate([best, shift], axis=1)
-                        if best.shape[1] > topk:
-                            best = -np.partition(-best, topk - 1, axis=1)[:, :topk]
-        yield from finish(rows, best)
-
-    placed = subjects.unionByName(partners).repartition(blocks * stripes, "block", "stripe")
-    shifts = placed.sortWithinPartitions("block", "stripe", "is_partner").mapInArrow(
-        run, "row int, shift double"
-    )
+    def halves(values: np.ndarray) -> np.ndarray:
+        return np.hstack([unit_rows(x) for x in np.hsplit(values, 2)])
+
+    rows = pack(both, 2 * n_dims, halves, "shift-blocks")
+    shifts = meet(rows, rows, lambda ids, pairs: _Shifts(ids, pairs, topk), "row long, shift double")
+    shifts = shifts.select(F.col("row").cast(kind), "shift")
     largest = Window.partitionBy("row").orderBy(F.desc("shift"))
     return (
         shifts.withColumn("place", F.row_number().over(largest))
