@@ -14,7 +14,6 @@ the postings again, which return the scores of their documents: no text is read
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvec.llm.ballots import deflate, inflate, pack, unpack
+from tallyvec.llm.tokens import Encoder
 from tallyvec.llm.worker import kept
 from tallyvec.sources.stage import write_stage
 
 CHUNK_BYTES = 4 << 20  # text in a chunk, or one longer document
-GROUP_CHARS = 1 << 18  # characters tokenized together
+GROUP_CHARS = 1 << 20  # characters tokenized together
 BUCKETS = 16  # of B ids
 BAND_BYTES = 16 << 20  # of packed postings in a bucket's band
 
@@ -41,17 +41,14 @@ class Tokenizers:
     """A byte-level tokenizers file (A) and a sentencepiece model (B), with their tokens' bytes."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True  # their strings in a text are plain text
+        self.a = Encoder(a_path, plain=True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = _byte_letters()
-        size = max(self.a.get_vocab().values()) + 1
-        table = [b""] * size
-        for token, number in self.a.get_vocab().items():
+        vocab = self.a.tokenizer.get_vocab()
+        table = [b""] * (max(vocab.values()) + 1)
+        for token, number in vocab.items():
             table[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.a_bytes = _Flat(table)
         self.b_bytes = _Flat([self._piece(i) for i in range(self.b.get_piece_size())])
@@ -60,9 +57,8 @@ class Tokenizers:
         piece = self.b.id_to_piece(number)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(number) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        made = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in made], self.b.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[int]]]:
+        return self.a.encode_many([" " + t for t in texts]), self.b.encode(texts, num_threads=1)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -164,7 +160,7 @@ def _parts(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
-def _flat_ids(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _flat_ids(lists: list) -> tuple[np.ndarray, np.ndarray]:
     counts = np.array([len(x) for x in lists], np.int64)
     out = np.empty(int(counts.sum()), np.int64)
     at = 0

@@ -68,17 +68,18 @@ class Encoder:
     A byte-level pre-tokenizer never joins what stands left and right of a single space or
     line end between two other characters, and never gives that to the left. So a text whose only white
     space is of that kind is put together from pieces, each with the space or line end before it; other
-    texts, those that hold an added token such as ``<|endoftext|>``, and all texts of
-    other kinds of tokenizers, are encoded as they are. Arrow finds the distinct pieces of
+    texts, those that hold an added token such as ``<|endoftext|>`` (unless ``plain`` makes them
+    ordinary text), and all texts of other kinds of tokenizers, are encoded as they are. Arrow finds the distinct pieces of
     many documents. Those not met before are encoded in one go: the lengths of the tokens in bytes tell
     where a piece ends.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self._many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         made = json.loads(self.tokenizer.to_str())
@@ -87,17 +88,17 @@ class Encoder:
             before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
             and not made.get("normalizer")
         )
-        added = [x["content"] for x in made.get("added_tokens") or [] if x["content"]]
+        added = [x["content"] for x in made.get("added_tokens") or [] if x["content"] and not (plain and x["special"])]
         # One with white space could stand across pieces or texts.
         self.pieces = self.pieces and not any(re.search(r"\s|\0", x) for x in added)
-        self.whole = "|".join([f"[{ODD_SPACE}]", r"[ \n][ \n]", r"\A[ \n]", r"[ \n]\z", *map(re.escape, added)])
+        self.whole = "|".join([f"[{ODD_SPACE}]", r"[ \n][ \n]", r"[ \n]\z", *map(re.escape, added)])
         self.lengths = np.zeros(1 << self.bits, np.int64)  # a byte is one character of a token
         for token, number in self.tokenizer.get_vocab().items():
             self.lengths[number] = len(token)
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = {"": 0}  # what stands before a space or a line end at the start of a text
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
@@ -155,9 +156,10 @@ class Encoder:
         own = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(own < 0)
         if len(missing):
-            if self.known and len(self.known) + len(missing) > PIECES:
+            if len(self.known) + len(missing) > PIECES:
                 self._forget()
-                missing = np.arange(len(distinct))
+                own = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+                missing = np.flatnonzero(own < 0)
             for start in range(0, len(missing), LEARNT):
                 self._learn([distinct[i] for i in missing[start : start + LEARNT].tolist()])
             own[missing] = np.arange(len(self.known) - len(missing), len(self.known))

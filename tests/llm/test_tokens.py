@@ -18,13 +18,18 @@ def test_pieces_are_exact():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, own, rng, n = Tokenizer.from_file(path), tokens.Encoder(path), random.Random(1), 0
+    plain, own_plain = Tokenizer.from_file(path), tokens.Encoder(path, plain=True)
+    plain.encode_special_tokens = True
     while n < 50_000:
         batch = ["Title\n\n\nname\tvalue\tunit", "a\n\n\nb\tc\td", "\xa0\xa0x", ""] if n == 0 else []
         for _ in range(rng.randint(1, 60)):
             words = rng.choices(PLAIN if rng.random() < 0.5 else PLAIN + ODD, k=rng.randint(0, 12))
-            batch.append(rng.choice(["", " "]).join(words) if rng.random() < 0.5 else "".join(w + rng.choice(" \n") for w in words).strip())
+            batch.append(rng.choice(["", " "]).join(words) if rng.random() < 0.5 else "".join(w + rng.choice(" \n") for w in words))
         want = [x.ids for x in library.encode_batch_fast(batch, add_special_tokens=False)]
         assert [x.tolist() for x in own.encode_many(batch)] == want
+        batch = [" " + t for t in batch]
+        want = [x.ids for x in plain.encode_batch_fast(batch, add_special_tokens=False)]
+        assert [x.tolist() for x in own_plain.encode_many(batch)] == want
         n += len(batch)
 
 
