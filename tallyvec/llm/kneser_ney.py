@@ -1,13 +1,13 @@
-"""Quality by an interpolated modified Kneser-Ney model of characters.
+"""Quality by an interpolated modified Kneser-Ney model of bytes.
 
-Grams of characters are counted over the trusted documents and summed in shards. The
+Grams of six bytes are counted over the trusted documents and summed in shards. The
 probabilities of the grams that the corpus asks for are put together by joins with the
 sharded counts, order by order, and go back to the chunks of documents that asked. A
 document's perplexity is judged by a quantile of its language among trusted documents
 that the model has not seen.
 
-A gram is one 64-bit number. The characters of the trusted texts are numbered, all others are
-one: up to 1,020 of them fit six times into a gram, up to 4,092 five times, more four times.
+Units are the bytes of UTF-8, so that a gram of any text is one number and no alphabet has to be
+chosen. Two bytes that UTF-8 never uses mark a text's start and end.
 """
 
 from __future__ import annotations
@@ -24,48 +24,54 @@ from pyspark.sql import functions as F
 from tallyvec.llm.ballots import CELLS, cell_table, deflate, inflate
 from tallyvec.sources.stage import write_stage
 
-ORDER, WIDTH = 4, 16  # of a gram of plain code points: characters, and bits of each
-SHAPES = ((6, 10), (5, 12), (4, 16))  # of a gram of numbered characters: the first that holds them
-UNSEEN, START, END = 1, 2, 3  # numbers of a character never trained on, and of a text's ends
+ORDER, WIDTH = 6, 8  # of a gram: units, and bits of each
+START, END = 0xFF, 0xFE
 HELD_OUT = 3  # one in so many trusted documents sets thresholds instead of training
 QUANTILE = 0.99  # of the perplexities of trusted documents, by language
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 16 << 20
+PART_BYTES = 1 << 20  # of a chunk whose grams are listed at once
+STEP = 1024  # an answer is a whole number of 1/STEP bits, below 64 bits
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _shape(alphabet: np.ndarray) -> tuple[int, int]:
-    """Characters in a gram, and bits of each, for so many known characters."""
-    return next((s for s in SHAPES if len(alphabet) + END < 1 << s[1]), SHAPES[-1])
-
-
-def _grams(texts: list[str], alphabet: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of all texts end to end, and how many each text has (its length and one).
-
-    Characters are numbered by their place in ``alphabet``, or are their code points without one.
-    """
-    order, width = (ORDER, WIDTH) if alphabet is None else _shape(alphabet)
-    sizes = np.array([len(t) for t in texts], np.int64) + 1
-    units = _points("\0" * (order - 1) + ("\0" * order).join(texts) + "\0")
-    if alphabet is None:
-        units = np.minimum(units, (1 << width) - 1).astype(np.uint64)
-    else:
-        known = alphabet[: (1 << width) - END - 1]
-        numbers = np.full(0x110000, UNSEEN, np.uint64)
-        numbers[known] = np.arange(END + 1, END + 1 + len(known))
-        units = numbers[units]
-    starts = np.cumsum(sizes + order - 1) - (sizes + order - 1)
-    for i in range(order - 1):
-        units[starts + i] = START
-    units[starts + order - 2 + sizes] = END
-    n = len(units) - order + 1
+def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of all texts end to end, and how many each text has (its length and one)."""
+    sizes = np.array([len(x) for x in texts], np.int64) + 1
+    room = bytes([START]) * (ORDER - 1)
+    units = np.frombuffer(room + (bytes([END]) + room).join(texts) + bytes([END]), np.uint8)
+    n = len(units) - ORDER + 1
     keys = np.zeros(n, np.uint64)
-    for i in range(order):
-        keys |= units[i : i + n] << np.uint64(width * (order - 1 - i))
-    own = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return keys[own], sizes
+    for i in range(ORDER):
+        keys <<= np.uint64(WIDTH)
+        keys |= units[i : i + n]
+    # A gram that ends inside the room before a text belongs to no text.
+    starts = np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1)
+    inside = np.ones(n, bool)
+    for i in range(ORDER - 1):
+        inside[(starts[1:] - ORDER + 1 + i)] = False
+    return keys[inside], sizes
+
+
+def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Neighbouring texts of about ``PART_BYTES``, or one longer text."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= PART_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a chunk, ascending, and how often each occurs."""
+    grams, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for part in _parts(texts):
+        new, n = np.unique(_grams(part)[0], return_counts=True)
+        both, place = np.unique(np.concatenate([grams, new]), return_inverse=True)
+        grams, times = both, np.bincount(place, np.concatenate([times, n])).astype(np.int64)
+    return grams, times
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -80,14 +86,20 @@ def _cells(chunk: int, keys: np.ndarray, shards: int, values: np.ndarray | None
     rows = []
     for a, b in zip(cuts, np.append(cuts[1:], len(own))):
         part = order[a:b]
-        raw = np.diff(keys[part], prepend=np.uint64(0)).tobytes()
-        raw += values[part].astype(np.int64).tobytes() if values is not None else b""
+        raw = _planes(np.diff(keys[part], prepend=np.uint64(0)))
+        raw += _planes(values[part].astype(np.uint64)) if values is not None else b""
         rows.append((chunk, int(own[part[0]]), deflate(raw)))
     return rows
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first: most are alike."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
 def _columns(payload: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(inflate(payload), np.uint64).reshape(width, -1)
+    planes = np.frombuffer(inflate(payload), np.uint8).reshape(width, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64)[:, :, 0]
 
 
 def _pack_docs(docs: DataFrame, chunks: int) -> DataFrame:
@@ -121,18 +133,18 @@ def _unpack_docs(table: pa.Table) -> pa.Table:
     return pa.concat_tables(parts).combine_chunks()
 
 
-def _texts(table: pa.Table) -> list[str]:
-    return [x or "" for x in table["text"].to_pylist()]
+def _texts(table: pa.Table) -> list[bytes]:
+    return [x or b"" for x in table["text"].cast(pa.binary()).to_pylist()]
 
 
-def _model(grams: DataFrame, longest: int = ORDER, width: int = WIDTH) -> tuple[list[DataFrame], list[DataFrame | None], float, int]:
-    """By order 1 to ``longest``: ``(gram, f)`` discounted shares, ``(gram, g)`` the context's rest.
+def _model(grams: DataFrame) -> tuple[list[DataFrame], list[DataFrame | None], float]:
+    """By order: ``(gram, f)`` discounted shares, ``(gram, g)`` the context's rest.
 
-    Also what the first order leaves to each character, seen or not, and the bits of a character.
+    Also what the first order leaves to each byte, seen or not.
     """
     counts = [grams.select("gram", "cnt")]
-    for order in range(longest - 1, 0, -1):  # continuation counts: how many characters stand before
-        tail = F.col("gram").bitwiseAND(F.lit((1 << (width * order)) - 1)).alias("gram")
+    for order in range(ORDER - 1, 0, -1):  # continuation counts: how many bytes stand before
+        tail = F.col("gram").bitwiseAND(F.lit((1 << (WIDTH * order)) - 1)).alias("gram")
         counts.insert(0, write_stage(counts[0].select(tail).groupBy("gram").agg(F.count("*").alias("cnt")), f"kn-{order}"))
     shares, rests = [], []
     spare = 1.0
@@ -148,26 +160,26 @@ def _model(grams: DataFrame, longest: int = ORDER, width: int = WIDTH) -> tuple[
         off = F.when(F.col("cnt") == 1, d[0]).when(F.col("cnt") == 2, d[1]).otherwise(d[2])
         if order == 1:
             taken = table.agg(F.sum(off)).first()[0] or 0.0
-            spare = (taken / total if total else 1.0) / (types + 1)  # one more for characters never seen
+            spare = (taken / total if total else 1.0) / (types + 1)  # one more for bytes never seen
             shares.append(table.select("gram", ((F.col("cnt") - off) / total if total else F.lit(0.0)).alias("f")))
             rests.append(None)
             continue
-        context = F.shiftrightunsigned("gram", width).alias("context")
+        context = F.shiftrightunsigned("gram", WIDTH).alias("context")
         sums = table.groupBy(context).agg(F.sum("cnt").alias("all"), F.sum(off).alias("taken"))
         sums = write_stage(sums, f"kn-context-{order}")
         rests.append(sums.select(F.col("context").alias("gram"), (F.col("taken") / F.col("all")).alias("g")))
         share = (F.col("cnt") - off) / F.col("all")
         shares.append(table.withColumn("context", context).join(sums, "context").select("gram", share.alias("f")))
-    return shares, rests, spare, width
+    return shares, rests, spare
 
 
 def _bits(asked: DataFrame, model) -> DataFrame:
     """``(shard, gram, bits)``: the surprise of distinct grams, by joins from the first order up."""
-    shares, rests, spare, width = model
+    shares, rests, spare = model
     table = asked
     p: Column | None = None
     for order in range(1, len(shares) + 1):
-        tail = F.col("gram") if order == len(shares) else F.col("gram").bitwiseAND(F.lit((1 << (width * order)) - 1))
+        tail = F.col("gram") if order == len(shares) else F.col("gram").bitwiseAND(F.lit((1 << (WIDTH * order)) - 1))
         share = shares[order - 1].select(F.col("gram").alias("key"), F.col("f").alias(f"f{order}"))
         table = table.join(share, tail == F.col("key"), "left").drop("key")
         f = F.coalesce(f"f{order}", F.lit(0.0))
@@ -175,20 +187,20 @@ def _bits(asked: DataFrame, model) -> DataFrame:
             p = f + F.lit(spare)
             continue
         rest = rests[order - 1].select(F.col("gram").alias("key"), F.col("g").alias(f"g{order}"))
-        table = table.join(rest, F.shiftrightunsigned(tail, width) == F.col("key"), "left").drop("key")
+        table = table.join(rest, F.shiftrightunsigned(tail, WIDTH) == F.col("key"), "left").drop("key")
         p = f + F.coalesce(f"g{order}", F.lit(1.0)) * p
     return table.select("shard", "gram", (-F.log2(p)).alias("bits"))
 
 
 def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``(doc_id, tie, lang, n_chars, bits, split)`` for every document; ``tie`` is a hash of the text.
+    """``(doc_id, tie, lang, n_bytes, bits, split)`` for every document; ``tie`` is a hash of the text.
 
     ``bits`` is the surprise of the whole text; ``split`` is 'train' for trusted documents that
     the model is made of, 'held' for those held out, else null. ``trusted`` holds ids.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = min(max(64, total // CHUNK_BYTES + 1), (1 << 31) - 1)
+    chunks = min(max(16, total // CHUNK_BYTES + 1), (1 << 31) - 1)
     shards = max(16, chunks // 4)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Dealt once and kept by the executors for the three passes; made again where it is lost.
@@ -197,29 +209,20 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD_OUT)) == 0
     ids = write_stage(ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", held.alias("held")), "kn-trusted")
 
-    def trained(left: pa.Table, right: pa.Table) -> list[str]:
+    def trained(left: pa.Table, right: pa.Table) -> list[bytes]:
         own = {i for i, h in zip(right["doc_id"].to_pylist(), right["held"].to_pylist()) if not h}
         if not left.num_rows or not own:
             return []
         table = _unpack_docs(left)
-        return [t or "" for i, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist()) if i in own]
-
-    def characters(left: pa.Table, right: pa.Table) -> pa.Table:
-        seen = [np.unique(_points(t)) for t in trained(left, right)]
-        return pa.table({"point": np.unique(np.concatenate([*seen, np.zeros(0, np.uint32)])).astype(np.int32)})
+        return [t for i, t in zip(table["doc_id"].to_pylist(), _texts(table)) if i in own]
 
     both = packed.groupBy("chunk").cogroup(ids.groupBy("chunk"))
-    # No more rows than there are characters in Unicode.
-    points = both.applyInArrow(characters, "point int").groupBy("point").agg(F.count("*").alias("n"))
-    points = points.orderBy(F.desc("n"), "point").select("point").toArrow()["point"]
-    alphabet = np.array(points.to_pylist(), np.int64)
-    longest, width = _shape(alphabet)
 
     def count(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         texts = trained(left, right)
         if not texts:
             return cell_table([])
-        grams, times = np.unique(_grams(texts, alphabet)[0], return_counts=True)
+        grams, times = _distinct(texts)
         return cell_table(_cells(key[0].as_py(), grams, shards, times))
 
     def add(table: pa.Table) -> pa.Table:
@@ -231,11 +234,11 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         return pa.table({"gram": distinct.view(np.int64), "cnt": sums})
 
     counted = both.applyInArrow(count, CELLS)
-    grams = write_stage(counted.groupBy("bucket").applyInArrow(add, "gram long, cnt long"), f"kn-{longest}")
-    model = _model(grams, longest, width)
+    grams = write_stage(counted.groupBy("bucket").applyInArrow(add, "gram long, cnt long"), "kn-grams")
+    model = _model(grams)
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        grams = np.unique(_grams(_texts(_unpack_docs(table)), alphabet)[0])
+        grams, _ = _distinct(_texts(_unpack_docs(table)))
         return cell_table(_cells(key[0].as_py(), grams, shards))
 
     def merge(table: pa.Table) -> pa.Table:
@@ -250,7 +253,8 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         rows = []
         for chunk, payload in zip(left["chunk"].to_pylist(), left["payload"]):
             wanted = np.cumsum(_columns(payload.as_py(), 1)[0], dtype=np.uint64)
-            rows.append((chunk, key[0].as_py(), deflate(bits[np.searchsorted(keys, wanted)].astype(np.float32).tobytes())))
+            codes = np.minimum(np.rint(bits[np.searchsorted(keys, wanted)] * STEP), 65535).astype(np.uint16)
+            rows.append((chunk, key[0].as_py(), deflate(codes.tobytes())))
         return cell_table(rows)
 
     asked = write_stage(packed.groupBy("chunk").applyInArrow(ask, CELLS), "kn-asked")
@@ -260,21 +264,26 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         table = _unpack_docs(left)
-        keys, sizes = _grams(_texts(table), alphabet)
-        grams, place = np.unique(keys, return_inverse=True)
+        texts = _texts(table)
+        grams, _ = _distinct(texts)
         own = _shard(grams, shards)
         bits = np.empty(len(grams))
         for shard, payload in zip(right["bucket"].to_pylist(), right["payload"]):
-            bits[own == shard] = np.frombuffer(inflate(payload.as_py()), np.float32)
-        sums = np.add.reduceat(bits[place], np.cumsum(sizes) - sizes)
+            bits[own == shard] = np.frombuffer(inflate(payload.as_py()), np.uint16) / STEP
+        sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for part in _parts(texts):
+            keys, counts = _grams(part)
+            sums.append(np.add.reduceat(bits[np.searchsorted(grams, keys)], np.cumsum(counts) - counts))
+            sizes.append(counts)
+        sums, sizes = np.concatenate(sums), np.concatenate(sizes)
         return pa.table(
             {
                 "doc_id": table["doc_id"].cast(pa.int64()), "tie": table["tie"], "lang": table["lang"],
-                "n_chars": pa.array(sizes - 1), "bits": pa.array(np.round(sums, 3)),
+                "n_bytes": pa.array(sizes - 1), "bits": pa.array(np.round(sums, 3)),
             }
         )
 
-    schema = "doc_id long, tie long, lang string, n_chars long, bits double"
+    schema = "doc_id long, tie long, lang string, n_bytes long, bits double"
     scored = packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, schema)
     split = F.when(F.col("held"), "held").when(~F.col("held"), "train")
     scored = write_stage(scored, "kn-scores")
@@ -283,24 +292,24 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``(doc_id, tie, lang, n_chars, perplexity, threshold, kept, split)`` for every document.
+    """``(doc_id, tie, lang, n_bytes, perplexity, threshold, kept, split)`` for every document.
 
-    ``perplexity`` is per character, in bits, the end of the text included. The threshold is a
+    ``perplexity`` is per byte, in bits, the end of the text included. The threshold is a
     quantile of the held-out trusted documents of the language, or of all languages for a
     language without any (null is one); without any at all, everything is kept. Kept without a
-    judgement are texts without characters and the documents trained on: these are trusted by
+    judgement are texts without bytes and the documents trained on: these are trusted by
     their labels, and how a model fits its own texts does not compare with the held-out ones.
     Null texts are empty; repeated rows are scored alike, null ids never trusted; needs
     ``doc_id, lang, text``; no rows give none.
     """
     scored = write_stage(perplexity(docs, trusted), "kn-split")
-    rated = scored.withColumn("perplexity", F.col("bits") / (F.col("n_chars") + 1))
-    held = rated.where("split = 'held' and n_chars > 0")
+    rated = scored.withColumn("perplexity", F.col("bits") / (F.col("n_bytes") + 1))
+    held = rated.where("split = 'held' and n_bytes > 0")
     quantile = F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10000))
     marks = write_stage(held.groupBy(F.col("lang").alias("l")).agg(quantile.alias("own")), "kn-marks")
     whole = held.agg(quantile.alias("whole")).first()["whole"]
     judged = rated.join(marks, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
     judged = judged.withColumn("threshold", F.coalesce("own", F.lit(whole).cast("double")))
-    unjudged = (F.col("n_chars") == 0) | F.col("split").eqNullSafe(F.lit("train"))
+    unjudged = (F.col("n_bytes") == 0) | F.col("split").eqNullSafe(F.lit("train"))
     kept = unjudged | F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return judged.select("doc_id", "tie", "lang", "n_chars", "perplexity", "threshold", kept.alias("kept"), "split")
+    return judged.select("doc_id", "tie", "lang", "n_bytes", "perplexity", "threshold", kept.alias("kept"), "split")

@@ -77,7 +77,7 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under the model of the trusted ones."""
     out = kneser_ney.classify(_table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
-    return out.select("doc_id", "lang", "n_chars", "perplexity", "threshold", "kept")
+    return out.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", "kept")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
