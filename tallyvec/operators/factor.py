@@ -11,14 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyvec.operators.tiles import (
-    Tiles,
-    from_panels,
-    list_matrix,
-    list_vectors,
-    sum_panels,
-    to_panels,
-)
+from tallyvec.operators.dense import TRIANGLES, Dense, list_matrix, list_vectors, read_block
+from tallyvec.operators.tiles import Tiles, from_panels, n_blocks, sum_panels, to_panels
 from tallyvec.sources.stage import BROADCAST_BYTES, write_stage
 
 # Fixed value: extra basis vectors of the randomised method.
@@ -27,9 +21,6 @@ OVERSAMPLE = 10
 # Directions below this share of the largest one, times the dimensions, are rounding noise.
 NOISE = 64 * float(np.finfo(np.float64).eps)
 
-# Tasks that reduce the triangles of the tasks before them.
-TRIANGLES = 16
-
 
 def sparse_dot(
     matrix: DataFrame,
@@ -123,31 +114,40 @@ def orthonormalise(dense: DataFrame, n_dims: int, rounds: int = 2) -> tuple[Data
     return transform_rows(dense, factor), factor.shape[1]
 
 
-def _sign_of_largest(dense: DataFrame, n_dims: int) -> np.ndarray:
+def _span(dense: Dense, rounds: int = 1) -> Dense:
+    """An orthonormal basis of a written factor; a second round removes the rounding error of the first."""
+    factor = np.eye(dense.n_dims)
+    for _ in range(rounds):
+        values, vectors = _directions(dense.triangle(factor))
+        factor = factor @ (vectors / values)
+    return dense.times(factor)
+
+
+def _sign_of_largest(dense: Dense) -> np.ndarray:
     """Per dimension, the sign of its entry of largest magnitude (first key on ties)."""
-    key = dense.columns[0]
+    n_dims, n_blocks = dense.n_dims, dense.n_blocks
 
     def partial(batches):
         best, keys, signs = np.full(n_dims, -1.0), np.zeros(n_dims, np.int64), np.ones(n_dims)
+        dims = np.arange(n_dims)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(ids, kind="stable")
-            ids, block = ids[order], list_matrix(batch.column(1), n_dims)[order]
-            size = np.abs(block)
-            at = size.argmax(axis=0)
-            top, dims = size[at, np.arange(n_dims)], np.arange(n_dims)
-            better = (top > best) | ((top == best) & (ids[at] < keys))
-            best = np.where(better, top, best)
-            keys = np.where(better, ids[at], keys)
-            signs = np.where(better, np.sign(block[at, dims]), signs)
+            for i, number in enumerate(batch.column(0).to_pylist()):
+                slots, block = read_block(batch.column(1)[i], batch.column(2)[i], n_dims)
+                if not len(slots):
+                    continue
+                ids, size = slots * n_blocks + number, np.abs(block)
+                at = size.argmax(axis=0)
+                top = size[at, dims]
+                better = (top > best) | ((top == best) & (ids[at] < keys))
+                best = np.where(better, top, best)
+                keys = np.where(better, ids[at], keys)
+                signs = np.where(better, np.sign(block[at, dims]), signs)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(n_dims, dtype=np.int32)), pa.array(best), pa.array(keys), pa.array(signs)],
+            [pa.array(dims.astype(np.int32)), pa.array(best), pa.array(keys), pa.array(signs)],
             ["d", "size", "key", "sign"],
         )
 
-    parts = dense.select(key, "vec").mapInArrow(partial, "d int, size double, key long, sign double")
+    parts = dense.table.mapInArrow(partial, "d int, size double, key long, sign double")
     tops = parts.groupBy("d").agg(F.max_by("sign", F.struct("size", -F.col("key"))).alias("sign"))
     signs = np.ones(n_dims)
     for d, sign in tops.collect():
@@ -181,22 +181,20 @@ def truncated_svd(
     down = Tiles.build(cells, "col", "row", n_cols, n_rows)
 
     size = min(n_components + OVERSAMPLE, n_cols, n_rows)
-    dims = size
-    basis = _random_basis(cells.select("col").distinct(), size, seed)
+    blocks = n_blocks(n_cols)
+    start = _random_basis(cells.select("col").distinct(), size, seed)
+    basis = Dense.pack(start, blocks, -(-n_cols // blocks), size)
     for step in range(n_iter + 1):
-        left = write_stage(from_panels(across.dot(to_panels(basis, dims), dims), dims), f"svd-left-{step}")
         # Between passes only the span matters.
-        left, dims = orthonormalise(left, dims, rounds=1)
-        right = write_stage(from_panels(down.dot(to_panels(left, dims), dims), dims), f"svd-basis-{step}")
-        basis, dims = orthonormalise(right, dims, rounds=2 if step == n_iter else 1)
-    left = write_stage(from_panels(across.dot(to_panels(basis, dims), dims), dims), "svd-left")
+        left = _span(across.times(basis).written(f"svd-left-{step}"))
+        basis = _span(down.times(left).written(f"svd-basis-{step}"), rounds=2 if step == n_iter else 1)
+    left = across.times(basis).written("svd-left")
 
-    sigma, rotation = _directions(triangle(left, dims))
+    sigma, rotation = _directions(left.triangle())
     sigma, rotation = sigma[:n_components], rotation[:, :n_components]
-    signs = _sign_of_largest(transform_rows(basis, rotation), rotation.shape[1])
-    rotation = rotation * signs
-    u = transform_rows(left, rotation / sigma)
-    v = transform_rows(basis, rotation)
+    rotation = rotation * _sign_of_largest(basis.times(rotation))
+    u = left.times(rotation / sigma).rows("row", across.kind)
+    v = basis.times(rotation).rows("col", down.kind)
     # A matrix of lower rank than asked for has zeros in the remaining dimensions.
     missing = n_components - len(sigma)
     if missing:

@@ -3,10 +3,10 @@
 Row and column indices are dealt out in turn to blocks, so that the frequent words, which
 have the small indices, spread over all of them. A tile holds entries of one row block and
 one column block, at most ``TILE_ENTRIES`` of them; denser pairs of blocks get several
-tiles. A product joins the tiles with the blocks of the dense factor on the column block.
+tiles. A product brings the tiles and the blocks of the dense factor together on the column block.
 No task holds more than a tile, a block of the factor and a block of the result.
 
-A dense factor ``(key, vec)`` travels as panels ``(key, panel, part)`` of ``PANEL``
+For products without tiles a dense factor ``(key, vec)`` travels as panels ``(key, panel, part)`` of ``PANEL``
 dimensions: an aggregation with one sum per dimension of a panel is small enough for the
 JVM to compile, one over all dimensions is not.
 """
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyvec.operators.dense import BLOCK_SCHEMA, Dense, add_blocks, block_row, list_matrix, list_vectors, read_block
 from tallyvec.sources.stage import BROADCAST_BYTES, write_stage
 
 PANEL = 16
@@ -29,9 +30,6 @@ TILE_ENTRIES = 65_536
 # Entries multiplied at a time, to stay within the processor's cache.
 SLICE_ENTRIES = 2_048
 
-# Rows of a result sent at a time.
-SLICE_ROWS = 8_192
-
 # Block heights: small factors are cut finely, large ones into at most about 64 blocks
 # until a block reaches the upper limit.
 MIN_BLOCK, MAX_BLOCK = 4_096, 65_536
@@ -70,18 +68,6 @@ def from_panels(parts: DataFrame, n_dims: int) -> DataFrame:
     return vectors.selectExpr(key, f"slice(vec, 1, {n_dims}) AS vec")
 
 
-def list_matrix(column: pa.Array, n_dims: int) -> np.ndarray:
-    """A column of equally long lists as a matrix."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_dims)
-
-
-def list_vectors(values: np.ndarray) -> pa.Array:
-    """The rows of a matrix as a column of lists."""
-    n, k = values.shape
-    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(k))
-    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(values).ravel()))
-
-
 def _pack(batches):
     """Cut entries sorted by (out_block, in_block, r) into tiles."""
 
@@ -152,64 +138,69 @@ class Tiles:
         return Tiles(tiles, out, cells.schema[out].dataType.simpleString(), n_out, n_in)
 
     def dot(self, panels: DataFrame, n_dims: int) -> DataFrame:
-        """The panels of the product with a dense factor given as panels.
-
-        Rows that hold whole blocks rely on Spark's limit of bytes per Arrow batch.
-        """
+        """The panels of the product with a dense factor given as panels."""
         outs, ins = n_blocks(self.n_out), n_blocks(self.n_in)
-        out_height, in_height = -(-self.n_out // outs), -(-self.n_in // ins)
-        n_panels, width = -(-n_dims // PANEL), min(PANEL, n_dims)
-
-        # Every part is as wide as a panel; the padding of the last one stays zero.
-        key = panels.columns[0]
-        padded = f"concat(part, array_repeat(0D, {width} - size(part)))"
-        cell = f"struct(cast(floor({key} / {ins}) AS int) AS slot, panel, {padded} AS part)"
-        blocks = panels.selectExpr(f"cast({key} % {ins} AS int) AS in_block", f"{cell} AS cell")
-        blocks = blocks.groupBy("in_block").agg(F.collect_list("cell").alias("block"))
-        if self.n_in * n_dims * 8 <= BROADCAST_BYTES:
-            blocks = F.broadcast(blocks)
-
-        def rows_of(block: int, total: np.ndarray, seen: np.ndarray):
-            slots = np.flatnonzero(seen)
-            for begin in range(0, len(slots), SLICE_ROWS):
-                part = slots[begin : begin + SLICE_ROWS]
-                ids = part.astype(np.int64) * outs + block
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), list_vectors(total[part])], ["out", "vec"]
-                )
+        rows = from_panels(panels, n_dims)
+        product = self.times(Dense.pack(rows, ins, -(-self.n_in // ins), n_dims))
+        return to_panels(product.rows(self.out, self.kind), n_dims)
+
+    def times(self, dense: Dense) -> Dense:
+        """The product with a dense factor.
+
+        A small factor is broadcast and the tiles stay where they are. Otherwise the tiles of an
+        inner block are cut into stripes of outer blocks, and the block is sent once to each stripe,
+        ahead of the tiles that stream past it; the number of a stripe of a block is its partition, and
+        there are as many stripes as keep all cores busy. Rows that hold whole blocks rely
+        on Spark's limit of bytes per Arrow batch.
+        """
+        outs, ins, n_dims = n_blocks(self.n_out), n_blocks(self.n_in), dense.n_dims
+        out_height, in_height = -(-self.n_out // outs), dense.height
+
+        def product(factor: np.ndarray, r, c, v, total: np.ndarray, there: np.ndarray) -> None:
+            for begin in range(0, len(r), SLICE_ENTRIES):
+                at = slice(begin, begin + SLICE_ENTRIES)
+                rows = r[at]
+                starts = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
+                products = factor[c[at]]
+                products *= v[at, None]
+                total[rows[starts]] += np.add.reduceat(products, starts, axis=0)
+                there[rows[starts]] = True
 
         def multiply(batches):
-            current, total, seen = None, None, None
+            inner, factor, current, total, there = None, None, None, None, None
             for batch in batches:
-                out_blocks = batch.column(0).to_pylist()
-                for i, out_block in enumerate(out_blocks):
-                    if out_block != current:
+                sides, out_blocks, in_blocks = (batch.column(j).to_pylist() for j in (0, 1, 2))
+                for i, side in enumerate(sides):
+                    if side != 1 and in_blocks[i] != inner:
+                        inner, factor = in_blocks[i], np.zeros((in_height, n_dims))
+                        slots, values = read_block(batch.column(6)[i], batch.column(7)[i], n_dims)
+                        factor[slots] = values
+                    if side == 0:
+                        continue
+                    if out_blocks[i] != current:
                         if current is not None:
-                            yield from rows_of(current, total, seen)
-                        current = out_block
-                        total = np.zeros((out_height, n_panels * width))
-                        seen = np.zeros(out_height, bool)
-                    r, c, v = (batch.column(j)[i].values.to_numpy() for j in (1, 2, 3))
-                    cells = batch.column(4)[i].values
-                    factor = np.zeros((in_height, n_panels, width))
-                    at = cells.field(0).to_numpy(), cells.field(1).to_numpy()
-                    factor[at] = list_matrix(cells.field(2), width)
-                    factor = factor.reshape(in_height, -1)
-                    for begin in range(0, len(r), SLICE_ENTRIES):
-                        at = slice(begin, begin + SLICE_ENTRIES)
-                        rows = r[at]
-                        starts = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
-                        products = factor[c[at]]
-                        products *= v[at, None]
-                        total[rows[starts]] += np.add.reduceat(products, starts, axis=0)
-                        seen[rows[starts]] = True
+                            yield block_row(current, there, total[there])
+                        current = out_blocks[i]
+                        total, there = np.zeros((out_height, n_dims)), np.zeros(out_height, bool)
+                    r, c, v = (batch.column(j)[i].values.to_numpy() for j in (3, 4, 5))
+                    product(factor, r, c, v, total, there)
             if current is not None:
-                yield from rows_of(current, total, seen)
-
-        partial = (
-            self.tiles.join(blocks, "in_block")
-            .select("out_block", "r", "c", "v", "block")
-            .mapInArrow(multiply, "out long, vec array<double>")
-        )
-        partial = partial.selectExpr(f"cast(out AS {self.kind}) AS {self.out}", "vec")
-        return sum_panels(to_panels(partial, n_panels * width), n_dims)
+                yield block_row(current, there, total[there])
+
+        blocks = dense.table.select(F.col("block").alias("in_block"), "seen", "vals")
+        columns = ["side", "out_block", "in_block", "r", "c", "v", "seen", "vals"]
+        if dense.n_bytes <= BROADCAST_BYTES:
+            # Side 2: a tile with the block that belongs to it.
+            met = self.tiles.join(F.broadcast(blocks), "in_block").withColumn("side", F.lit(2)).select(*columns)
+        else:
+            cores = self.tiles.sparkSession.sparkContext.defaultParallelism
+            stripes = min(outs, max(1, -(-4 * cores // ins)))
+            stripe = F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))
+            sent = blocks.withColumn("stripe", stripe).withColumn("side", F.lit(0))
+            tiles = self.tiles.withColumn("stripe", F.col("out_block") % stripes).withColumn("side", F.lit(1))
+            both = sent.unionByName(tiles, allowMissingColumns=True)
+            cell = (F.col("in_block") * stripes + F.col("stripe")).cast("int").alias("cell")
+            placed = both.select(cell, *columns).repartitionById(ins * stripes, "cell")
+            met = placed.sortWithinPartitions("side", "out_block").select(*columns)
+        partial = met.mapInArrow(multiply, BLOCK_SCHEMA)
+        return Dense(add_blocks(partial, outs, out_height, n_dims), outs, out_height, n_dims)
