@@ -28,6 +28,7 @@ from tallyvec.operators.pmi import train_pmi
 from tallyvec.operators.search import (
     cosine_search,
     knn_join,
+    SparseSpace,
     most_similar,
     name_hits,
     similar_to_vector,
@@ -105,10 +106,20 @@ def similar_docs_from_bow(spark, sf_dir):
 
 
 def similar_in_pmi_space(spark, sf_dir):
-    vocab, _ = vocabulary(spark, sf_dir)
+    """Known words, also those without contexts, among all words."""
+    vocab, n_vocab = vocabulary(spark, sf_dir)
     pmi = trained_pmi(spark, sf_dir)
     asked = vocab.join(benchmark_words(spark, sf_dir), "word").select(F.col("idx").alias("row"))
-    return _hits(sparse_cosine_search(pmi.join(F.broadcast(asked), "row"), pmi, 10))
+    return _hits(sparse_cosine_search(pmi.join(asked, "row"), pmi, 10, n_rows=n_vocab, n_cols=n_vocab, ids=asked))
+
+
+def unseen_in_pmi_space(spark, sf_dir):
+    """New texts, whose numbers mean no word of the model, among all words."""
+    vocab, n_vocab = vocabulary(spark, sf_dir)
+    bags = benchmark_bags(spark, sf_dir)
+    new, _ = train_pmi(bags, model_contexts(spark, sf_dir), n_cols=n_vocab)
+    space = SparseSpace.build(trained_pmi(spark, sf_dir), n_vocab, n_vocab)
+    return _hits(space.search(new, 10, known=False))
 
 
 QUERIES = {
@@ -119,6 +130,7 @@ QUERIES = {
     "similar_docs": similar_docs,
     "similar_docs_from_bow": similar_docs_from_bow,
     "similar_in_pmi_space": similar_in_pmi_space,
+    "unseen_in_pmi_space": unseen_in_pmi_space,
 }
 
 # Ranks use the similarity to nine digits and then the smaller id.
@@ -167,7 +179,18 @@ ORACLES = {
         asked AS (SELECT pm.* FROM pm JOIN vocab ON idx = row JOIN bwords USING (word)),
         dots AS (SELECT q.row AS query, p.row AS id, sum(q.pmi * p.pmi) AS dot FROM asked q JOIN pm p USING (col)
             WHERE q.row <> p.row GROUP BY q.row, p.row),
-        sims AS (SELECT query, id, dot / (x.len * y.len) AS s FROM dots JOIN lens x ON x.row = query JOIN lens y ON y.row = id),
+        near AS (SELECT query, id, dot / (x.len * y.len) AS s FROM dots JOIN lens x ON x.row = query JOIN lens y ON y.row = id),
+        sims AS (SELECT a.idx AS query, v.idx AS id, coalesce(s, 0) AS s FROM vocab a JOIN bwords USING (word)
+            JOIN vocab v ON v.idx <> a.idx LEFT JOIN near ON query = a.idx AND id = v.idx),
+        h AS (SELECT query, id, round(s, 9) AS s, {_RANK} AS rank FROM sims)
+        SELECT query, rank, id, s + 0.0 AS sim FROM h WHERE rank <= 10""",
+    "unseen_in_pmi_space": f"""{BASE_SQL},{MODEL_PY_SQL},{pmi_sql('pm', 'ww', 'model_py', CUT)},{BENCHMARK_BAGS_SQL},
+        lens AS (SELECT row, sqrt(sum(pmi * pmi)) AS len FROM pm GROUP BY row),
+        newlens AS (SELECT row, sqrt(sum(pmi * pmi)) AS len FROM bpm GROUP BY row),
+        near AS (SELECT q.row AS query, p.row AS id, sum(q.pmi * p.pmi) / (any_value(x.len) * any_value(y.len)) AS s
+            FROM bpm q JOIN pm p USING (col) JOIN newlens x ON x.row = q.row JOIN lens y ON y.row = p.row GROUP BY q.row, p.row),
+        sims AS (SELECT a.row AS query, v.idx AS id, coalesce(s, 0) AS s FROM newlens a CROSS JOIN vocab v
+            LEFT JOIN near ON query = a.row AND id = v.idx),
         h AS (SELECT query, id, round(s, 9) AS s, {_RANK} AS rank FROM sims)
         SELECT query, rank, id, s + 0.0 AS sim FROM h WHERE rank <= 10""",
 }

@@ -84,7 +84,7 @@ class Dense:
 
     @staticmethod
     def pack(rows: DataFrame, n_blocks: int, height: int, n_dims: int) -> Dense:
-        """Blocks of ``rows(key, vec)``, each key there once at most."""
+        """Blocks of ``rows(key, vec)``; a key is there once at most in a batch, and vectors of the same key add up."""
 
         def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -103,6 +103,23 @@ class Dense:
         parts = rows.mapInArrow(single, BLOCK_SCHEMA)
         return Dense(add_blocks(parts, n_blocks, height, n_dims), n_blocks, height, n_dims)
 
+    @staticmethod
+    def scatter(cells: DataFrame, n_blocks: int, height: int, n_dims: int) -> Dense:
+        """Blocks of ``cells(key, dim, value)``; values of the same key and dimension add up."""
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys, dims = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:2])
+                own, place = np.unique(keys, return_inverse=True)
+                values = np.zeros((len(own), n_dims))
+                np.add.at(values, (place, dims), batch.column(2).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array(own), list_vectors(values)], ["key", "vec"])
+
+        vectors = cells.mapInArrow(rows, "key long, vec array<double>")
+        return Dense.pack(vectors, n_blocks, height, n_dims)
+
     def written(self, name: str) -> Dense:
         return Dense(write_stage(self.table, name), self.n_blocks, self.height, self.n_dims)
 
