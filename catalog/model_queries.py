@@ -6,7 +6,8 @@ SQL; training itself is checked by its row counts here and by invariants in the
 
 from __future__ import annotations
 
-
+import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -18,7 +19,10 @@ from catalog.common import (
     DW_SQL,
     ENCODED_SQL,
     LABELLED_SQL,
+    MIN_COUNT,
+    WINDOW,
     benchmark_words,
+    conversation_sentences,
     label_counts,
     labelled,
     once,
@@ -40,10 +44,11 @@ from tallyvec.operators.factor import fill_rows, representation, sparse_dot, tru
 from tallyvec.operators.pmi import train_pmi
 from tallyvec.plans.doc2vec import label_matrix, matrix_influence, train_label_vectors, train_word_transformer
 from tallyvec.plans.reconstruction import infer_held_out_words, infer_masked_words
-from tallyvec.plans.word2vec import EmbeddingParams, append_words, infer_rows, train_word_vectors
+from tallyvec.plans.word2vec import EmbeddingParams, WordVectors, append_words, infer_rows, train_word_vectors
 from tallyvec.operators.influence import mean_influence
 from tallyvec.sources.corpus import labelled_sentences
-from tallyvec.sources.stage import spread, write_stage
+from tallyvec.sources.models import load_model, save_model
+from tallyvec.sources.stage import shared_folder, spread, write_stage
 
 # As published for the example corpus, with a smaller size for the small test tables.
 PARAMS = EmbeddingParams(size=50, window=3, min_count=10, negative=10, beta=0.75)
@@ -129,6 +134,25 @@ def infer_wordvec(spark, sf_dir):
     return vector_cells(inferred_words(spark, sf_dir), "row", "word")
 
 
+def model_load(spark, sf_dir):
+    """A full model and a partial one of other words are saved and loaded; the partial one infers, the full one is searched."""
+    folder = f"{shared_folder(spark)}/tallyvec/models-{uuid.uuid4().hex}"
+    vocab, n_vocab = vocabulary(spark, sf_dir)
+    params = EmbeddingParams(size=DIMS, window=WINDOW, min_count=MIN_COUNT, dynamic_weight=True)
+    full = WordVectors(
+        params, vocab, n_vocab, model_contexts(spark, sf_dir), stand_in(vocab), projected_words(spark, sf_dir), n_vocab
+    )
+    save_model(full, f"{folder}/full")
+    rare = full.wv.where(F.col("idx") % 2 == 1)
+    save_model(replace(full, wv=rare), f"{folder}/odd", base=f"{folder}/full")
+    odd = load_model(spark, f"{folder}/odd")
+    inferred, grown = odd.infer_words(conversation_sentences(spark, sf_dir), benchmark_words(spark, sf_dir))
+    known = load_model(spark, f"{folder}/full").wv.join(grown.wv.select("word"), "word", "left_semi")
+    return vector_cells(inferred, "row", "word").select(F.lit("inferred").alias("part"), "*").unionByName(
+        vector_cells(known, "idx", "word").select(F.lit("known").alias("part"), F.col("idx").alias("row"), "word", "d", "x")
+    )
+
+
 def append_inferred(spark, sf_dir):
     wv, _ = append_words(
         projected_words(spark, sf_dir), vocabulary(spark, sf_dir)[1], inferred_words(spark, sf_dir)
@@ -230,6 +254,7 @@ QUERIES = {
     "word_lookup": word_lookup,
     "unseen_word_matrix": unseen_word_matrix,
     "infer_wordvec": infer_wordvec,
+    "model_load": model_load,
     "append_words": append_inferred,
     "doc2vec_train": doc2vec_train,
     "word_only_transformer": word_only_transformer,
@@ -291,6 +316,10 @@ ORACLES = {
         SELECT bindex.row, word, coalesce(col, -1) AS col, {r('coalesce(v, 0)')} AS v FROM bindex LEFT JOIN new_ww USING (row)""",
     "infer_wordvec": f"""{_TOKENS},{MODEL_PY_SQL},{stand_in_sql()},{_NEW_SQL}
         SELECT row, word, CAST(d AS INT) AS d, {r('x')} AS x FROM nproj""",
+    "model_load": f"""{PROJECTED_SQL},{_NEW_SQL}
+        SELECT 'inferred' AS part, row, word, CAST(d AS INT) AS d, {r('x')} AS x FROM nproj
+        UNION ALL SELECT 'known', row, word, CAST(d AS INT), {r('x')} FROM proj JOIN vocab ON idx = row
+        WHERE idx % 2 = 1 OR word IN (SELECT word FROM bwords)""",
     "append_words": f"""{PROJECTED_SQL},{_NEW_SQL},
         added AS (SELECT row, word, (SELECT count(*) FROM vocab) + row_number() OVER (ORDER BY row) - 1 AS idx FROM bindex
             WHERE word NOT IN (SELECT word FROM vocab))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.common import (
@@ -30,10 +32,13 @@ from tallyvec.plans.reconstruction import (
     frequent_queries,
     hit_at_k,
     neighbour_report,
+    neighbour_sets,
     reconstruction_accuracy,
     restrict_vectors,
     word_neighbours,
 )
+from tallyvec.sources.neighbours import read_neighbour_lists, write_neighbour_lists
+from tallyvec.sources.stage import shared_folder
 
 HALF = EMBEDDING_DIMS // 2
 TOP = 30
@@ -139,6 +144,23 @@ def neighbour_export(spark, sf_dir):
     return exported.select("query", F.array_join(F.transform("neighbours", pair), ",").alias("neighbours"))
 
 
+def neighbour_lists(spark, sf_dir):
+    """The lists of two sets of test words and of their union, written as text and read back."""
+    full = embeddings(spark, sf_dir)
+    half = full.select("idx", "word", F.slice("vec", 1, HALF).alias("vec"))
+    by_label = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("idx"), "label")
+    tests = full.join(by_label, "idx")
+    sets = {
+        "low": (half, HALF, tests.where("label < 3").select("word")),
+        "mixed": (half.where("idx % 3 <> 0"), HALF, tests.where("label between 2 and 4").select("word")),
+    }
+    found = neighbour_sets(sets, full, EMBEDDING_DIMS, TOP)
+    path = f"{shared_folder(spark)}/tallyvec/neighbours-{uuid.uuid4().hex}"
+    write_neighbour_lists(found, path)
+    back = read_neighbour_lists(spark, path)
+    return back.withColumn("sim", nine_digits("sim"))
+
+
 QUERIES = {
     "proportion_keywords": keywords_by_proportion,
     "label_keywords": keywords_of_labels,
@@ -150,6 +172,7 @@ QUERIES = {
     "reconstruction_accuracy": accuracy,
     "hit_at_k": hits,
     "neighbour_export": neighbour_export,
+    "neighbour_lists": neighbour_lists,
 }
 
 _LABELS = f"WITH {sents_sql()},{vocab_sql()},{ENCODED_SQL},{LABELLED_SQL},{DW_SQL}"
@@ -219,4 +242,12 @@ ORACLES = {
     "neighbour_export": f"""{_PAIR}
         SELECT query, string_agg(word || ':' || CAST(CAST(round(sim, 9) AS DECIMAL(12, 9)) AS VARCHAR), ',' ORDER BY rank) AS neighbours
         FROM hn WHERE rank <= {TOP} GROUP BY query""",
+    "neighbour_lists": f"""WITH {EMBEDDINGS_SQL}, half AS (SELECT idx, word, vec[1:{HALF}] AS vec, label FROM emb),
+        low AS (SELECT * FROM half WHERE label < 3), part AS (SELECT * FROM half WHERE idx % 3 <> 0),
+        mixed AS (SELECT * FROM part WHERE label BETWEEN 2 AND 4),
+        every AS (SELECT * FROM emb WHERE idx IN (SELECT idx FROM low UNION SELECT idx FROM mixed)),
+        {ranked_sql('a', 'low', 'half', 'q.idx <> i.idx')},{ranked_sql('b', 'mixed', 'part', 'q.idx <> i.idx')},
+        {ranked_sql('c', 'every', 'emb', 'q.idx <> i.idx')},
+        found AS (SELECT 'low' AS set, * FROM a UNION ALL SELECT 'mixed', * FROM b UNION ALL SELECT 'full_answer', * FROM c)
+        SELECT set, 'v' || query AS query, rank, 'v' || id AS word, s + 0.0 AS sim FROM found WHERE rank <= {TOP}""",
 }

@@ -1,5 +1,10 @@
+import ast
+from dataclasses import replace
+
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tallyvec.operators.keywords import proportion_keywords
 from tallyvec.operators.subwords import subword_counts, subword_table
@@ -16,6 +21,8 @@ from tallyvec.plans.reconstruction import (
 )
 from tallyvec.plans.word2vec import EmbeddingParams, pair_matrix, train_word_vectors
 from tallyvec.sources.corpus import labelled_sentences, tokenize_sentences
+from tallyvec.sources.models import load_model, save_model
+from tallyvec.sources.neighbours import read_neighbour_lists, write_neighbour_lists
 from tests.test_counting import matrix
 from tests.test_vectors import array_of
 
@@ -147,3 +154,60 @@ def test_aligned_vocabularies(spark):
         restrict_vectors(full, spark.createDataFrame([(0, "q")], "idx int, word string")).collect()
     shared = common_vectors(full, full).select("idx", "word").orderBy("idx").collect()
     assert [tuple(r) for r in shared] == [(0, "a"), (1, "b")]
+
+
+def test_models_come_back(spark, model, corpus, tmp_path):
+    full, part = f"{tmp_path}/full", f"{tmp_path}/part"
+    with pytest.raises(FileNotFoundError):
+        load_model(spark, full)
+    with pytest.raises(FileNotFoundError):
+        save_model(model, part, base=full)
+    assert save_model(model, full) == 0
+    again = load_model(spark, full)
+    assert (again.params, again.n_vocab, again.sigma) == (model.params, model.n_vocab, model.sigma)
+    assert sorted(map(str, again.wv.collect())) == sorted(map(str, model.wv.collect()))
+    words = ["the", "unheardof"]
+
+    def inferred(m):
+        return {(r.word, d): x for r in m.infer_words(corpus, words)[0].collect() for d, x in enumerate(r.vec)}
+
+    want = pytest.approx(inferred(model))
+    assert inferred(again) == want
+    # A partial model holds its own words only, and infers with what the full one has.
+    few = replace(model, wv=model.wv.filter("idx < 5"))
+    assert save_model(few, part, base=full) == 0 and save_model(few, part, base=full) == 1
+    half = load_model(spark, part)
+    assert half.wv.count() == 5 and half.sigma == model.sigma
+    assert inferred(half) == want
+    with pytest.raises(ValueError):
+        save_model(half, f"{tmp_path}/third", base=part)
+        load_model(spark, f"{tmp_path}/third")
+    # Tables without a manifest are no model.
+    model.wv.write.parquet(f"{tmp_path}/broken/wv-1")
+    with pytest.raises(FileNotFoundError):
+        load_model(spark, f"{tmp_path}/broken")
+
+
+def test_label_models_come_back(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "concat(lang, '\t', text) AS text").limit(60)
+    model = train_label_vectors(labelled_sentences(docs), EmbeddingParams(size=4, min_count=5, window=2))
+    save_model(model, f"{tmp_path}/labels")
+    again = load_model(spark, f"{tmp_path}/labels")
+    assert type(again) is type(model) and again.n_labels == model.n_labels
+    assert sorted(map(str, again.dv.collect())) == sorted(map(str, model.dv.collect()))
+    sentences = labelled_sentences(docs)
+    assert sorted(map(str, again.infer_labels(sentences).collect())) == sorted(map(str, model.infer_labels(sentences).collect()))
+
+
+def test_neighbour_lists_come_back(spark, tmp_path):
+    words = ["plain", "it's", 'say"so', "both'\"", "back\\slash", "ends\\", "[(", "(x, 1)", "é"]
+    rows = [("s", w, i + 1, v, (i - 3) / 7) for w in words for i, v in enumerate(words) if v != w]
+    rows += [("t u", "plain", 1, "it's", 1e-9)]
+    table = spark.createDataFrame(rows, "set string, query string, rank int, word string, sim double")
+    table = table.withColumn("rank", F.row_number().over(Window.partitionBy("set", "query").orderBy("rank")))
+    write_neighbour_lists(table, f"{tmp_path}/lists")
+    assert sorted(read_neighbour_lists(spark, f"{tmp_path}/lists").collect()) == sorted(table.collect())
+    lines = spark.read.text(f"{tmp_path}/lists/set=s").collect()
+    for line in lines:  # as Python reads it
+        query, pairs = line.value.split(",[", 1)
+        assert [p[0] for p in ast.literal_eval("[" + pairs)] == [w for w in words if w != query]
