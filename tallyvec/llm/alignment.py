@@ -27,8 +27,9 @@ from tallyvec.llm.tokens import Encoder
 from tallyvec.llm.worker import kept
 from tallyvec.sources.stage import write_stage
 
-CHUNK_BYTES = 4 << 20  # text in a chunk, or one longer document
-GROUP_CHARS = 1 << 20  # characters tokenized together
+CHUNK_BYTES = 2 << 20  # text in a chunk, or one longer document
+GROUP_CHARS = 1 << 19  # characters tokenized together
+PIECES = 400_000  # pieces of text that a worker remembers
 BUCKETS = 16  # of B ids
 BAND_BYTES = 16 << 20  # of packed postings in a bucket's band
 
@@ -43,7 +44,7 @@ class Tokenizers:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.a = Encoder(a_path, plain=True)
+        self.a = Encoder(a_path, plain=True, most=PIECES)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = _byte_letters()
         vocab = self.a.tokenizer.get_vocab()

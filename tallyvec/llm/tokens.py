@@ -74,12 +74,13 @@ class Encoder:
     where a piece ends.
     """
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, most: int = PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
+        self.most = most
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self._many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         made = json.loads(self.tokenizer.to_str())
@@ -156,7 +157,7 @@ class Encoder:
         own = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(own < 0)
         if len(missing):
-            if len(self.known) + len(missing) > PIECES:
+            if len(self.known) + len(missing) > self.most:
                 self._forget()
                 own = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
                 missing = np.flatnonzero(own < 0)
