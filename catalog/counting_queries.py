@@ -14,6 +14,7 @@ from catalog.common import (
     DW_SQL,
     ENCODED_SQL,
     LABELLED_SQL,
+    MIN_COUNT,
     WINDOW,
     benchmark_words,
     conversation_sentences,
@@ -45,8 +46,10 @@ from tallyvec.operators.pmi import (
 )
 from tallyvec.plans.reconstruction import split_vocabulary
 from tallyvec.plans.word2vec import EmbeddingParams, row_counts, word_rows
+from tallyvec.sources.corpus import holdout_sentences
 
 PRUNE_COUNT, PRUNE_POINT = 5, 1_000
+HEAD = 16 << 10
 THRESHOLD = math.log(10)
 
 
@@ -80,6 +83,20 @@ def cooc_block_prune(spark, sf_dir):
     return _word_context(spark, sf_dir, min_count=PRUNE_COUNT, prune_point=PRUNE_POINT)
 
 
+def cooc_block_prune_holdout(spark, sf_dir):
+    """Sentences with rare words are left out, and the others are numbered without gaps."""
+    vocab, n_vocab = vocabulary(spark, sf_dir)
+    terms = vocab.filter(F.col("cnt") <= MIN_COUNT + 1).select("word")
+    kept = holdout_sentences(sentences(spark, sf_dir), terms, True, n_vocab)
+    counts = word_context(kept, vocab, WINDOW, n_vocab=n_vocab, min_count=PRUNE_COUNT, prune_point=PRUNE_POINT)
+    return counts.withColumn("cnt", rounded("cnt"))
+
+
+def word_context_head_tail(spark, sf_dir):
+    """A few hundred frequent words are broadcast, all others are looked up by a join."""
+    return _word_context(spark, sf_dir, head_bytes=HEAD)
+
+
 def label_word_counts(spark, sf_dir):
     return label_word(labelled(spark, sf_dir), *vocabulary(spark, sf_dir))
 
@@ -200,7 +217,9 @@ QUERIES = {
     "word_context": word_context_fixed,
     "word_context_dynamic": word_context_dynamic,
     "word_context_rows": word_context_rows,
+    "word_context_head_tail": word_context_head_tail,
     "cooc_block_prune": cooc_block_prune,
+    "cooc_block_prune_holdout": cooc_block_prune_holdout,
     "label_word": label_word_counts,
     "label_index": label_index,
     "sparse_encode": sparse_encode_labels,
@@ -236,23 +255,10 @@ NEW_ROWS_SQL = f"""{CONVERSATIONS_SQL},{BENCHMARK_WORDS_SQL},
         FROM {near_sql('crow', 'cenc')} GROUP BY a.row, b.idx)"""
 
 
-def _words_sql(weight: str) -> str:
-    return f"""{_TOKENS},
-    counts AS (SELECT a.idx AS row, b.idx AS col, {weight} AS w FROM {near_sql('enc', 'enc')} GROUP BY a.idx, b.idx)
-    SELECT x.word, y.word AS context, {r('w')} AS cnt FROM counts JOIN vocab x ON x.idx = row JOIN vocab y ON y.idx = col"""
-
-
-ORACLES = {
-    "word_context": _words_sql("count(*)"),
-    "word_context_dynamic": _words_sql(f"{units_sql()} / {float(WINDOW)}"),
-    "word_context_rows": f"""{_TOKENS},{BENCHMARK_WORDS_SQL},
-        rowtoks AS (SELECT * FROM toks WHERE word IN (SELECT word FROM bwords)),
-        ctx AS (SELECT doc_id, sent_no, pos, word FROM toks WHERE word IN (SELECT word FROM vocab))
-        SELECT a.word, b.word AS context, {r(f'{units_sql()} / {float(WINDOW)}')} AS cnt
-        FROM {near_sql('rowtoks', 'ctx')} GROUP BY a.word, b.word""",
-    # A literal replay, block by block: running count, dropped at a boundary if too small.
-    "cooc_block_prune": f"""WITH RECURSIVE {sents_sql()},{vocab_sql()},
-        numbered AS (SELECT doc_id, sent_no, row_number() OVER (ORDER BY doc_id, sent_no) - 1 AS i FROM sents),
+def _pruned_sql(before: str, numbered: str) -> str:
+    """A literal replay, block by block: running count, dropped at a boundary if too small."""
+    return f"""WITH RECURSIVE {sents_sql()},{vocab_sql()},{before}
+        numbered AS (SELECT doc_id, sent_no, row_number() OVER (ORDER BY doc_id, sent_no) - 1 AS i FROM {numbered}),
         blocks AS (SELECT doc_id, sent_no, i // {PRUNE_POINT} AS block, (SELECT max(i) // {PRUNE_POINT} FROM numbered) AS last
             FROM numbered),
         benc AS (SELECT doc_id, sent_no, pos, idx, block, last FROM toks JOIN vocab USING (word)
@@ -268,7 +274,30 @@ ORACLES = {
                 CASE WHEN bs[k + 1] < last AND total + us[k + 1] < {PRUNE_COUNT * WINDOW} THEN 0 ELSE total + us[k + 1] END
             FROM run WHERE k < len(bs))
         SELECT x.word, y.word AS context, {r(f'total / {float(WINDOW)}')} AS cnt
-        FROM run JOIN vocab x ON x.idx = row JOIN vocab y ON y.idx = col WHERE k = len(bs) AND total > 0""",
+        FROM run JOIN vocab x ON x.idx = row JOIN vocab y ON y.idx = col WHERE k = len(bs) AND total > 0"""
+
+
+def _words_sql(weight: str) -> str:
+    return f"""{_TOKENS},
+    counts AS (SELECT a.idx AS row, b.idx AS col, {weight} AS w FROM {near_sql('enc', 'enc')} GROUP BY a.idx, b.idx)
+    SELECT x.word, y.word AS context, {r('w')} AS cnt FROM counts JOIN vocab x ON x.idx = row JOIN vocab y ON y.idx = col"""
+
+
+ORACLES = {
+    "word_context": _words_sql("count(*)"),
+    "word_context_dynamic": _words_sql(f"{units_sql()} / {float(WINDOW)}"),
+    "word_context_rows": f"""{_TOKENS},{BENCHMARK_WORDS_SQL},
+        rowtoks AS (SELECT * FROM toks WHERE word IN (SELECT word FROM bwords)),
+        ctx AS (SELECT doc_id, sent_no, pos, word FROM toks WHERE word IN (SELECT word FROM vocab))
+        SELECT a.word, b.word AS context, {r(f'{units_sql()} / {float(WINDOW)}')} AS cnt
+        FROM {near_sql('rowtoks', 'ctx')} GROUP BY a.word, b.word""",
+    "word_context_head_tail": _words_sql(f"{units_sql()} / {float(WINDOW)}"),
+    "cooc_block_prune": _pruned_sql("", "sents"),
+    "cooc_block_prune_holdout": _pruned_sql(
+        f"""terms AS (SELECT word FROM vocab WHERE cnt <= {MIN_COUNT + 1}),
+        hits AS (SELECT DISTINCT doc_id, sent_no FROM toks WHERE word IN (SELECT word FROM terms)),
+        train AS (SELECT s.* FROM sents s LEFT JOIN hits ON hits.doc_id = s.doc_id AND hits.sent_no = s.sent_no
+            WHERE hits.doc_id IS NULL),""", "train"),
     "label_word": f"""{_LABELS}
         SELECT label, word, lcounts.cnt FROM lcounts JOIN vocab ON vocab.idx = lcounts.col""",
     "label_index": f"{_LABELS} SELECT idx, label FROM labs",

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tallyvec.operators.vocabulary import index_sentences
 from tallyvec.sources.stage import small
 
+# Words and indices that are broadcast to be looked up in the scan, and what a word takes beside its letters.
+HEAD_BYTES, WORD_BYTES = 128 << 20, 32
+
 
 def _shifted(window: int, both_sides: bool) -> dict[int, Column]:
     """For each distance, the word array moved by it; negative distances look left."""
@@ -72,6 +75,32 @@ def _surviving_units(counts: DataFrame, keys: list[str], min_units: int, last: i
     )
 
 
+def head_and_tail(vocab: DataFrame, head_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """``(word, idx)`` of the most frequent words, to be broadcast, and of the others, if there are any.
+
+    The head has ``head_bytes`` at most, or one word. A word behind it has a rank, and so a share of the
+    tokens, of less than one in as many words as the head holds.
+    """
+    ids = vocab.select("word", "idx")
+    size, count = ids.agg(F.sum(F.octet_length("word") + WORD_BYTES), F.count("*")).first()
+    if not count or size <= head_bytes:
+        return ids, None
+    head = max(1, count * head_bytes // size)
+    # Indices rise as counts fall; longer words than the average only come with less of them.
+    largest = ids.where(F.col("idx") < head).agg(F.sum(F.octet_length("word") + WORD_BYTES)).first()[0]
+    head = max(1, head * head_bytes // max(largest, head_bytes))
+    return ids.where(F.col("idx") < head), ids.where(F.col("idx") >= head)
+
+
+def look_up(df: DataFrame, word: str, out: str, head: DataFrame, tail: DataFrame | None) -> DataFrame:
+    """Replace the words of a column by their indices; rows of unknown words are dropped."""
+    frequent = F.broadcast(head.toDF(word, out))
+    if tail is None:
+        return df.join(frequent, word).drop(word)
+    rare = df.join(frequent.drop(out), word, "left_anti").join(tail.toDF(word, out), word)
+    return df.join(frequent, word).unionByName(rare).drop(word)
+
+
 def _count(
     pairs: DataFrame, keys: list[str], blocks: int | None, min_units: int
 ) -> DataFrame:
@@ -103,32 +132,23 @@ def count_pairs(
     dynamic_weight: bool = True,
     min_count: int = 1,
     prune_point: int = 500_000,
+    head_bytes: int = HEAD_BYTES,
 ) -> DataFrame:
     """``(row, col, units)`` over the indices of the vocabulary.
 
     Each unordered pair is counted once, under its smaller index first, and mirrored after
-    the aggregation: half the rows to combine and to shuffle. With a vocabulary of known
-    moderate size both look-ups are broadcast joins inside the scan stage and the only
-    shuffle is that of the combined counts. A larger vocabulary is joined after the
-    strings have been combined.
+    the aggregation: half the rows to combine and to shuffle. Frequent words are looked up by broadcast
+    joins inside the scan stage, and with a vocabulary that fits the only shuffle is that of
+    the combined counts. Of a larger one the rare words are looked up by a join on the word, for which
+    only the tokens and neighbours move that are rare, and none of their words is hot.
     """
     sentences, last = _with_blocks(sentences, min_count, prune_point)
     keep = [] if last is None else ["block"]
     min_units = min_count * (window if dynamic_weight else 1)
-    ids = vocab.select("word", "idx")
-    tokens = _tokens(sentences, window, False, keep)
-    broadcastable = small(ids, n_vocab) is not ids
-    if broadcastable:
-        ids = F.broadcast(ids)
-        tokens = tokens.join(ids, "word").drop("word").withColumnRenamed("idx", "a")
-    else:
-        tokens = tokens.withColumnRenamed("word", "a")
+    head, tail = head_and_tail(vocab, head_bytes)
+    tokens = look_up(_tokens(sentences, window, False, keep), "word", "a", head, tail)
     pairs = tokens.select(*keep, "a", F.inline(_neighbours(window, False, dynamic_weight)))
-    pairs = pairs.filter("context is not null")
-    if not broadcastable:
-        pairs = pairs.groupBy(*keep, "a", "context").agg(F.sum("units").alias("units"))
-        pairs = pairs.join(ids.toDF("a", "idx"), "a").drop("a").withColumnRenamed("idx", "a")
-    pairs = pairs.join(ids.toDF("context", "b"), "context").select(
+    pairs = look_up(pairs.filter("context is not null"), "context", "b", head, tail).select(
         *keep,
         F.least("a", "b").alias("a"),
         F.greatest("a", "b").alias("b"),
@@ -189,6 +209,7 @@ def word_context(
     row_words: DataFrame | None = None,
     n_vocab: int | None = None,
     n_rows: int | None = None,
+    head_bytes: int = HEAD_BYTES,
 ) -> DataFrame:
     """``ww(word, context, cnt)``: in-vocabulary contexts within ``window`` on both sides.
 
@@ -199,7 +220,7 @@ def word_context(
     options = (window, dynamic_weight, min_count, prune_point)
     words = small(vocab.select(F.col("idx").alias("col"), F.col("word").alias("context")), n_vocab)
     if row_words is None:
-        counts = count_pairs(sentences, vocab, n_vocab, *options)
+        counts = count_pairs(sentences, vocab, n_vocab, *options, head_bytes)
         rows = small(vocab.select(F.col("idx").alias("row"), "word"), n_vocab)
         counts = counts.join(rows, "row")
     else:

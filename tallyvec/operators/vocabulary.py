@@ -70,26 +70,32 @@ def decode_words(
 
 
 def document_offsets(sentences: DataFrame) -> tuple[DataFrame, int, int]:
-    """``(doc_id, first_sentence)``: the sentences before each document.
+    """``(doc_id, first_sentence, numbers)``: the sentences before each document.
 
-    Also the number of sentences and of documents.
+    ``numbers`` lists the sentences of a document from which some were left out, and is null for
+    one that has all from 0 on. Also the number of sentences and of documents. Only numbers are
+    grouped and sorted, no texts.
     """
-    sizes = sentences.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sents"))
+    left = F.sort_array(F.collect_list("sent_no"))
+    sizes = sentences.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_sents"), F.max("sent_no").alias("last"), left.alias("numbers")
+    )
+    whole = F.col("last") + 1 == F.col("n_sents")
+    sizes = sizes.select("doc_id", "n_sents", F.when(~whole, F.col("numbers")).alias("numbers"))
     offsets, total, n_docs = running_offset(
         sizes, [F.col("doc_id")], "n_sents", "first_sentence", name="sentences"
     )
-    return offsets.select("doc_id", "first_sentence"), total, n_docs
+    return offsets.select("doc_id", "first_sentence", "numbers"), total, n_docs
 
 
 def index_sentences(sentences: DataFrame) -> tuple[DataFrame, int]:
     """Add ``i_sent``, the ordinal of each sentence in the corpus, and return their number.
 
     Sentences are counted within their document, so numbers that a filter has left out make
-    no gap. Beyond that only one row per document is sorted.
+    no gap: a sentence looks up its place among those that are left. One row per document is sorted; the
+    sentences themselves stay where they are, as long as the documents' numbers are small enough to be sent.
     """
     offsets, total, n_docs = document_offsets(sentences)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_no")) - 1
-    indexed = sentences.withColumn("place", place).join(small(offsets, n_docs), "doc_id").withColumn(
-        "i_sent", F.col("first_sentence") + F.col("place")
-    )
-    return indexed.drop("first_sentence", "place"), total
+    place = F.coalesce(F.array_position("numbers", F.col("sent_no")) - 1, F.col("sent_no"))
+    indexed = sentences.join(small(offsets, n_docs), "doc_id").withColumn("i_sent", F.col("first_sentence") + place)
+    return indexed.drop("first_sentence", "numbers"), total

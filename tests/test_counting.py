@@ -2,14 +2,16 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tallyvec.operators import cooccurrence
-from tallyvec.operators.cooccurrence import count_pairs, word_context
+from tallyvec.operators.cooccurrence import count_pairs, head_and_tail, word_context
 from tallyvec.operators.labels import count_label_words, index_labels, label_word
 from tallyvec.operators.matrix import pack_rows, slice_matrix, sparse_encode, stack_labels
 from tallyvec.operators.pmi import count_marginals, train_pmi
 from tallyvec.operators.vocabulary import index_sentences, index_vocabulary, scan_vocabulary
+from tallyvec.sources.stage import write_stage
 from tests.test_corpus import sents
 
 TINY = [["a", "b", "a", "c"], ["b", "c"]]
@@ -204,3 +206,31 @@ def test_pmi_alpha_and_empty_contexts(spark):
     assert [(r["row"], r["col"], round(r["pmi"], 9)) for r in pmi.collect()] == [
         (0, 0, round(math.log(0.5 / 0.30), 9))
     ]
+
+
+@pytest.mark.parametrize("head_bytes", [1, 120, 400])
+def test_rare_words_are_looked_up_by_a_join(spark, head_bytes):
+    """A word with a third of the tokens, and a vocabulary of which only a part may be broadcast."""
+    rng = np.random.default_rng(3)
+    lines = [["hot" if rng.random() < 0.33 else f"w{rng.integers(0, 40)}" for _ in range(25)] for _ in range(60)]
+    sents = spark.createDataFrame([(i, 0, w) for i, w in enumerate(lines)], "doc_id long, sent_no int, words array<string>")
+    vocab, n_vocab = index_vocabulary(sents, 3)
+    head, tail = head_and_tail(vocab, head_bytes)
+    assert head.count() >= 1 and tail.count() >= n_vocab - 11
+    assert head.orderBy("idx").first()["word"] == "hot"
+    whole = count_pairs(sents, vocab, n_vocab, 3)
+    parts = count_pairs(sents, vocab, n_vocab, 3, head_bytes=head_bytes)
+    assert sorted(parts.collect()) == sorted(whole.collect()) and whole.count() > 100
+
+
+def test_sentences_are_numbered_where_they_are(spark):
+    """Neither an exchange nor a sort of the words; numbers without gaps after a filter."""
+    rows = [(d, n, [f"a{d}", f"b{n}"]) for d in range(20) for n in range(d % 5 + 1)]
+    sents = write_stage(spark.createDataFrame(rows, "doc_id long, sent_no int, words array<string>"), "numbered")
+    for kept in (sents, sents.filter("(doc_id + sent_no) % 3 <> 0")):
+        indexed, total = index_sentences(kept)
+        got = [(r.doc_id, r.sent_no, r.i_sent) for r in indexed.orderBy("doc_id", "sent_no").collect()]
+        assert [i for _, _, i in got] == list(range(total)) == list(range(kept.count()))
+    plan = indexed._jdf.queryExecution().executedPlan().toString()
+    texts, numbers = plan.split("BroadcastExchange", 1)
+    assert "words" in texts and "Exchange" not in texts and "Sort" not in texts and "words" not in numbers
