@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvec.llm.ballots import CELLS, cell_table, deflate, inflate
@@ -169,27 +169,39 @@ def _model(grams: DataFrame) -> tuple[list[DataFrame], list[DataFrame | None], f
         sums = write_stage(sums, f"kn-context-{order}")
         rests.append(sums.select(F.col("context").alias("gram"), (F.col("taken") / F.col("all")).alias("g")))
         share = (F.col("cnt") - off) / F.col("all")
-        shares.append(table.withColumn("context", context).join(sums, "context").select("gram", share.alias("f")))
+        shared = table.withColumn("context", context).join(sums, "context").select("gram", share.alias("f"))
+        shares.append(write_stage(shared, f"kn-share-{order}"))
     return shares, rests, spare
 
 
 def _bits(asked: DataFrame, model) -> DataFrame:
-    """``(shard, gram, bits)``: the surprise of distinct grams, by joins from the first order up."""
+    """``(shard, gram, bits)``: the surprise of distinct grams, by joins from the first order up.
+
+    The many grams of the highest order share few tails, so a tail's probability is put together once and
+    joined to the grams that end with it. Each order is written, which tells how it is best joined.
+    """
     shares, rests, spare = model
-    table = asked
-    p: Column | None = None
-    for order in range(1, len(shares) + 1):
-        tail = F.col("gram") if order == len(shares) else F.col("gram").bitwiseAND(F.lit((1 << (WIDTH * order)) - 1))
-        share = shares[order - 1].select(F.col("gram").alias("key"), F.col("f").alias(f"f{order}"))
-        table = table.join(share, tail == F.col("key"), "left").drop("key")
-        f = F.coalesce(f"f{order}", F.lit(0.0))
-        if order == 1:
-            p = f + F.lit(spare)
-            continue
-        rest = rests[order - 1].select(F.col("gram").alias("key"), F.col("g").alias(f"g{order}"))
-        table = table.join(rest, F.shiftrightunsigned(tail, WIDTH) == F.col("key"), "left").drop("key")
-        p = f + F.coalesce(f"g{order}", F.lit(1.0)) * p
-    return table.select("shard", "gram", (-F.log2(p)).alias("bits"))
+    levels = [asked.select("gram")]
+    for order in range(len(shares) - 1, 0, -1):
+        tail = F.col("gram").bitwiseAND(F.lit((1 << (WIDTH * order)) - 1)).alias("gram")
+        levels.insert(0, write_stage(levels[0].select(tail).distinct(), f"kn-tails-{order}"))
+    below: DataFrame | None = None
+    for order, (level, share, rest) in enumerate(zip(levels, shares, rests), 1):
+        table = asked if order == len(shares) else level
+        table = table.join(share, "gram", "left")
+        if below is None:
+            p = F.coalesce("f", F.lit(0.0)) + F.lit(spare)
+        else:
+            low = below.select(F.col("gram").alias("tail"), F.col("p").alias("low"))
+            context = rest.select(F.col("gram").alias("context"), "g")
+            mask = F.lit((1 << (WIDTH * (order - 1))) - 1)
+            table = table.join(context, F.shiftrightunsigned("gram", WIDTH) == F.col("context"), "left")
+            table = table.join(low, F.col("gram").bitwiseAND(mask) == F.col("tail"))
+            p = F.coalesce("f", F.lit(0.0)) + F.coalesce("g", F.lit(1.0)) * F.col("low")
+        if order == len(shares):
+            return table.select("shard", "gram", (-F.log2(p)).alias("bits"))
+        below = write_stage(table.select("gram", p.alias("p")), f"kn-p-{order}")
+    raise AssertionError("no order")
 
 
 def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -258,7 +270,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         return cell_table(rows)
 
     asked = write_stage(packed.groupBy("chunk").applyInArrow(ask, CELLS), "kn-asked")
-    distinct = asked.groupBy("bucket").applyInArrow(merge, "shard int, gram long")
+    distinct = write_stage(asked.groupBy("bucket").applyInArrow(merge, "shard int, gram long"), "kn-distinct")
     known = write_stage(_bits(distinct, model), "kn-bits")
     replies = asked.groupBy("bucket").cogroup(known.groupBy("shard")).applyInArrow(reply, CELLS)
 

@@ -1,10 +1,12 @@
 """Quality rules: robust multivariate outliers among text statistics.
 
 Each language and source gets a minimum-covariance-determinant estimate of its transformed
-statistics: concentration steps, which fit mean and covariance to the three quarters of the
-documents that lie nearest to the last fit, started from medians and absolute deviations.
-Documents far from their group by Mahalanobis distance are rejected. All steps are
-aggregations by group, combined before the shuffle; a group is never gathered.
+statistics. Concentration steps fit mean and covariance to the half of the documents that lies nearest
+to the last fit; they run from several starts (medians and absolute deviations of all or some
+statistics, lower quartiles) until no determinant falls any more. The fit with the lowest determinant is
+kept and made again from all documents that are no outliers to it. Documents far from
+the fit of their group by Mahalanobis distance are rejected. All steps are aggregations by
+group and start, combined before the shuffle; a group is never gathered.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvec.llm.ballots import Chunk
@@ -24,9 +26,13 @@ from tallyvec.sources.stage import write_stage
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5  # words in a repeated window
-LEAST = 50  # documents that a group needs; smaller sources of a language share a group
-STEPS = 4  # concentration steps
-KEPT = 0.75  # share of a group that a step fits to
+LEAST = 25  # documents that an estimate needs; smaller groups are judged by that of their language, or of all
+STEPS = 30  # concentration steps at most; a dozen are usual
+SETTLED = 1e-3  # fall of the logarithm of a determinant that is none
+CORE = 0.5  # share of a group that a step fits to
+# Fixed values for five dimensions: a normal cloud's covariance over that of its core of half
+# the points; the squared distance within which 97.5 % of it lie, and the same ratio there.
+CORE_SCALE, NEAR, NEAR_SCALE = 1.916, 12.83, 1.055
 CUT = 14.0  # squared distance from which a document is an outlier
 DIMS = 5
 # Smallest spread of each transformed statistic, as a standard deviation: below it a
@@ -118,32 +124,83 @@ def _distance() -> Column:
     return total
 
 
-def _params(moments: DataFrame) -> DataFrame:
-    """Centre and inverse covariance from one row of sums per group."""
+def _params(moments: DataFrame, scale: float) -> DataFrame:
+    """Centre, inverse covariance and the logarithm of its determinant, from one row of sums per group and start."""
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            centers, inverses = [], []
+            centers, inverses, sizes = [], [], []
             for r in rows.itertuples(index=False):
                 mean = np.array([getattr(r, f"s{i}") for i in range(DIMS)]) / r.n
                 cov = np.empty((DIMS, DIMS))
                 for i in range(DIMS):
                     for j in range(i, DIMS):
                         cov[i, j] = cov[j, i] = getattr(r, f"s{i}{j}") / r.n - mean[i] * mean[j]
-                cov = cov * r.scale + np.diag(np.square(FLOOR))
+                cov = cov * scale + np.diag(np.square(FLOOR))
                 centers.append(mean.tolist())
                 inverses.append(np.linalg.inv(cov).reshape(-1).tolist())
-            yield pd.DataFrame({"lang": rows["lang"], "team": rows["team"], "center": centers, "inverse": inverses})
+                sizes.append(float(np.linalg.slogdet(cov)[1]))
+            yield pd.DataFrame({"t": rows["t"], "start": rows["start"], "center": centers, "inverse": inverses, "size": sizes})
 
-    schema = "lang string, team string, center array<double>, inverse array<double>"
+    schema = "t string, start int, center array<double>, inverse array<double>, size double"
     return moments.mapInPandas(solve, schema)
 
 
-def _with(points: DataFrame, params: DataFrame) -> DataFrame:
-    """Groups are few beside documents; Spark broadcasts them if they are small by bytes."""
-    named = params.withColumnRenamed("lang", "l").withColumnRenamed("team", "t")
-    same = F.col("lang").eqNullSafe(F.col("l")) & F.col("team").eqNullSafe(F.col("t"))
-    return points.join(named, same).drop("l", "t")
+NAMES = [f"x{i}" for i in range(DIMS)]
+
+
+def _moments(core: DataFrame) -> DataFrame:
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(NAMES)]
+    sums += [
+        F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s{i}{j}") for i in range(DIMS) for j in range(i, DIMS)
+    ]
+    return core.groupBy("t", "start").agg(F.count("*").alias("n"), *sums)
+
+
+def _middle(column: Column, share: float) -> Column:
+    return F.percentile_approx(column, F.lit(share), F.lit(2000))
+
+
+def _starts(members: DataFrame) -> DataFrame:
+    """``(t, start, center, inverse)``: medians and absolute deviations, of all or of some statistics, and lower quartiles."""
+    middles = members.groupBy("t").agg(
+        F.array(*[_middle(F.col(x), 0.5) for x in NAMES]).alias("center"),
+        F.array(*[_middle(F.col(x), 0.25) for x in NAMES]).alias("lower"),
+    )
+    middles = write_stage(middles, "outlier-medians")
+    apart = [_middle(F.abs(F.col(x) - F.col("center")[i]), 0.5).alias(f"m{i}") for i, x in enumerate(NAMES)]
+    spread = members.join(middles, "t").groupBy("t").agg(*apart, F.first("center").alias("center"), F.first("lower").alias("lower"))
+    starts = []
+    for number, (center, used) in enumerate(
+        [("center", range(DIMS)), ("center", [0]), ("center", [1, 2]), ("center", [3, 4]), ("lower", range(DIMS))]
+    ):
+        diagonal = [
+            1 / (F.pow(1.4826 * F.col(f"m{i}"), 2) + FLOOR[i] ** 2) if i == j and i in used else F.lit(0.0)
+            for i in range(DIMS) for j in range(DIMS)
+        ]
+        starts.append(F.struct(F.lit(number).alias("start"), F.col(center).alias("center"), F.array(*diagonal).alias("inverse")))
+    return spread.select("t", F.inline(F.array(*starts)))
+
+
+def estimates(members: DataFrame) -> DataFrame:
+    """``(t, center, inverse)``: the estimate of each group of ``members(t, x0 ...)``."""
+    params = write_stage(_starts(members), "outlier-fit")
+    before: DataFrame | None = None
+    for _ in range(STEPS):
+        near = members.join(params.select("t", "start", "center", "inverse"), "t").withColumn("d", _distance())
+        cuts = write_stage(near.groupBy("t", "start").agg(_middle(F.col("d"), CORE).alias("cut")), "outlier-cuts")
+        core = near.join(cuts, ["t", "start"]).where("d <= cut")
+        params = write_stage(_params(_moments(core), CORE_SCALE), "outlier-fit")
+        if before is not None:
+            was = before.select("t", "start", F.col("size").alias("was"))
+            falls = params.join(was, ["t", "start"]).agg(F.max(F.col("was") - F.col("size"))).first()[0]
+            if falls is None or falls < SETTLED:
+                break
+        before = params
+    best = params.groupBy("t").agg(F.min(F.struct("size", "start", "center", "inverse")).alias("b"))
+    best = write_stage(best.select("t", F.col("b.start").alias("start"), "b.center", "b.inverse"), "outlier-best")
+    near = members.join(best, "t").withColumn("d", _distance()).where(F.col("d") <= NEAR)
+    return write_stage(_params(_moments(near), NEAR_SCALE).select("t", "center", "inverse"), "outlier-estimates")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -151,63 +208,37 @@ def judge(docs: DataFrame) -> DataFrame:
 
     ``base_failed``: fewer than 10 words, or over a fifth of the words in repeated
     windows. A document is kept if it has not failed and its squared distance from its
-    group is at most ``CUT``. Languages and sources may be null, which makes groups of their own; in a
-    group of fewer than ``LEAST`` documents, small sources taken together, nobody is an
-    outlier. Needs ``doc_id, lang, source, text``; repeated rows are judged alike; no rows give none.
+    group is at most ``CUT``. Languages and sources may be null, which makes groups of their own; a
+    source of fewer than ``LEAST`` documents is judged by the estimate of its whole language, and such a language
+    by that of all documents. Needs ``doc_id, lang, source, text``; repeated rows are judged alike; no rows give none.
     """
-    names = [f"x{i}" for i in range(DIMS)]
     counted = statistics(docs)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = counted.withColumn("base_failed", failed).select(
-        "*", *[x.cast("double").alias(n) for x, n in zip(transformed(), names)]
+        "*", *[x.cast("double").alias(n) for x, n in zip(transformed(), NAMES)]
     )
     scored = write_stage(scored, "outlier-statistics")
     fits = scored.where(~F.col("base_failed"))
-    sizes = fits.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") >= LEAST).select(
-        F.col("lang").alias("l"), F.col("source").alias("s"), F.lit(True).alias("large")
+
+    def name(*columns: str) -> Column:
+        """Null and the empty string differ, and no two groups share a name."""
+        return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+    sizes = write_stage(fits.groupBy("lang", "source").agg(F.count("*").alias("n")), "outlier-groups")
+    in_lang = Window.partitionBy("lang")
+    team = (
+        F.when(F.col("n") >= LEAST, name("lang", "source"))
+        .when(F.sum("n").over(in_lang) >= LEAST, name("lang"))
+        .otherwise(F.lit("all"))
     )
-    large = write_stage(large, "outlier-groups")
+    teams = write_stage(sizes.select(F.col("lang").alias("l"), F.col("source").alias("s"), team.alias("team")), "outlier-teams")
     same = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))
-    # A team is a large source (its name after a colon, or null), or all small ones together.
-    team = F.when(F.col("large"), F.concat(F.lit(":"), F.col("source"))).otherwise(F.lit("small"))
-    points = scored.join(large, same, "left").withColumn("team", team).drop("l", "s", "large")
-    points = write_stage(points, "outlier-points")
-    fits = points.where(~F.col("base_failed"))
-
-    def middle(column: Column, share: float) -> Column:
-        return F.percentile_approx(column, F.lit(share), F.lit(2000))
-
-    centre = write_stage(
-        fits.groupBy("lang", "team").agg(
-            F.array(*[middle(F.col(x), 0.5) for x in names]).alias("center"), F.count("*").alias("n")
-        ).where(F.col("n") >= LEAST).drop("n"), "outlier-medians",
-    )
-    spread = _with(fits, centre).groupBy("lang", "team").agg(
-        *[middle(F.abs(F.col(x) - F.col("center")[i]), 0.5).alias(f"m{i}") for i, x in enumerate(names)],
-        F.first("center").alias("center"),
-    )
-    diagonal = [
-        1 / (F.pow(1.4826 * F.col(f"m{i}"), 2) + FLOOR[i] ** 2) if i == j else F.lit(0.0)
-        for i in range(DIMS) for j in range(DIMS)
-    ]
-    params = write_stage(spread.select("lang", "team", "center", F.array(*diagonal).alias("inverse")), "outlier-fit")
-    for step in range(STEPS):
-        near = _with(fits, params).withColumn("d", _distance())
-        cuts = near.groupBy("lang", "team").agg(middle(F.col("d"), KEPT).alias("cut"))
-        cuts = write_stage(cuts.select(F.col("lang").alias("l"), F.col("team").alias("t"), "cut"), "outlier-cuts")
-        same = F.col("lang").eqNullSafe(F.col("l")) & F.col("team").eqNullSafe(F.col("t"))
-        core = near.join(cuts, same).where("d <= cut").drop("l", "t")
-        sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(names)]
-        sums += [
-            F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}{j}")
-            for i in range(DIMS) for j in range(i, DIMS)
-        ]
-        moments = core.groupBy("lang", "team").agg(F.count("*").alias("n"), *sums)
-        # The nearest three quarters of a normal cloud in five dimensions spread less than the whole.
-        params = write_stage(_params(moments.withColumn("scale", F.lit(1.55))), "outlier-fit")
-    named = params.withColumnRenamed("lang", "l").withColumnRenamed("team", "t")
-    same = F.col("lang").eqNullSafe(F.col("l")) & F.col("team").eqNullSafe(F.col("t"))
-    judged = points.join(named, same, "left").withColumn("distance", _distance())
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)
-    return judged.select("doc_id", "lang", "source", *COUNTS, "base_failed", "distance", kept.alias("kept"), *names)
+    used = write_stage(teams.select(F.col("team").alias("t")).distinct(), "outlier-used")
+    named = fits.select(F.explode(F.array(name("lang", "source"), name("lang"), F.lit("all"))).alias("t"), *NAMES)
+    members = write_stage(named.join(used, "t", "left_semi"), "outlier-members")
+    found = estimates(members)
+    judged = scored.join(teams, same, "left").join(found, F.col("team") == F.col("t"), "left")
+    judged = judged.withColumn("distance", _distance())
+    # Without any document that has not failed there is no estimate, and nothing to be kept.
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
+    return judged.select("doc_id", "lang", "source", *COUNTS, "base_failed", "distance", kept.alias("kept"), *NAMES)
