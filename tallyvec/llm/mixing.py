@@ -6,7 +6,8 @@ probabilities along directions that keep the total of documents and the total of
 (the null space of the two constraints), until each is 0 or 1. It runs in blocks of
 documents, each of which leaves two undecided at most; the undecided of many blocks form
 the blocks of the next pass. The flight of a source's last block ends with a dozen
-undecided: the landing, which tries all ways to decide them and takes the nearest.
+undecided: the landing, which tries all ways to decide them and takes the nearest. Where large
+documents were among these, it goes on to exchange a document taken for one left out while that brings the words nearer.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from tallyvec.sources.stage import write_stage
 BLOCK = 2000  # documents in a block
 EXACT = 1e-9  # probabilities this near to 0 or 1 are decided
 LANDING = 12  # undecided documents left to the landing
+EXCHANGES = 32  # documents exchanged after the landing at most; each brings the words nearer to the target
 MOST = 3  # copies of a document at most
 
 
@@ -57,12 +59,12 @@ def targets(sizes: DataFrame) -> DataFrame:
     return known.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def flight(p: np.ndarray, x: np.ndarray, leave: int = 2) -> np.ndarray:
+def flight(p: np.ndarray, x: np.ndarray, leave: int = 2, seed: int = 0) -> np.ndarray:
     """Move ``p`` until ``leave`` (two at least) are undecided; sums of ``p`` and ``p * x`` stay."""
     p = p.astype(float).copy()
     x = x.astype(float) / max(1.0, float(np.abs(x).max(initial=1)))
     open_ = [i for i in range(len(p)) if EXACT < p[i] < 1 - EXACT]
-    draw = np.random.default_rng(len(p))
+    draw = np.random.default_rng([seed, len(p)])
     held = open_[:3]
     rest = iter(open_[3:])
     n = len(open_)
@@ -87,14 +89,31 @@ def flight(p: np.ndarray, x: np.ndarray, leave: int = 2) -> np.ndarray:
     return p
 
 
-def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Decide the last few so that words, and then documents, come nearest to their expectation."""
+def landing(p: np.ndarray, x: np.ndarray, goal: float, free: np.ndarray) -> np.ndarray:
+    """Decide the last few so that words, and then documents, come nearest to their expectation.
+
+    ``goal`` is the words expected of all, ``free`` tells which documents may be exchanged.
+    """
     p = p.copy()
     left = np.flatnonzero((p > 0) & (p < 1))
     if len(left):
         ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
         words = np.abs(ways @ x[left] - p[left] @ x[left]) / max(1.0, float(x[left].mean()))
         p[left] = ways[np.argmin(words + 0.1 * np.abs(ways.sum(1) - p[left].sum()))]
+    for _ in range(EXCHANGES):
+        over = float(p @ x) - goal
+        ins, outs = np.flatnonzero(free & (p == 1)), np.flatnonzero(free & (p == 0))
+        outs = outs[np.argsort(x[outs], kind="stable")]
+        if not len(ins) or not len(outs) or abs(over) < 0.5:
+            break
+        # For each document taken, the one left out whose size comes nearest to its own less what is too much.
+        at = np.searchsorted(x[outs], x[ins] - over)
+        near = np.stack([np.clip(at - 1, 0, len(outs) - 1), np.clip(at, 0, len(outs) - 1)])
+        apart = np.abs(over - x[ins] + x[outs[near]])
+        best = np.unravel_index(np.argmin(apart), apart.shape)
+        if apart[best] >= abs(over):
+            break
+        p[ins[best[1]]], p[outs[near[best]]] = 0.0, 1.0
     return p
 
 
@@ -141,9 +160,10 @@ def sample(docs: DataFrame) -> DataFrame:
             rows = rows.sort_values(["size", "turn", "nth"], ascending=[False, True, True], kind="stable")
             p, x = rows["p"].to_numpy(), rows["size"].to_numpy()
             last = rows["blocks"].iloc[0] == 1
-            p = flight(p, x, LANDING if last else 2)
+            goal, free = float(p @ x), (p > EXACT) & (p < 1 - EXACT)
+            p = flight(p, x, LANDING if last else 2, int(rows["turn"].iloc[0]) & 0xFFFFFFFF)
             if last:
-                p = landing(p, x)
+                p = landing(p, x, goal, free)
             return rows.assign(p=p)[["source", "turn", "nth", "size", "p", "blocks", "block"]]
 
         flown = state.groupBy("source", "block").applyInPandas(fly, layout + ", block long")
@@ -171,11 +191,11 @@ def sample(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as ``sample`` takes it; same columns."""
+    """``docs`` with each row as often as ``sample`` takes it; same columns, of any names but two leading underscores."""
     spread = F.xxhash64(F.lit("mix"), "doc_id", "source", "text")
-    taken = sample(docs).groupBy("turn").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    taken = sample(docs).groupBy(F.col("turn").alias("__of")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
     keyed = docs.withColumn("__turn", spread)
-    joined = keyed.join(taken, F.col("__turn") == F.col("turn"))
+    joined = keyed.join(taken, F.col("__turn") == F.col("__of"))
     # Repeated rows share a turn; each takes its part of their copies.
     nth = Window.partitionBy("__turn").orderBy("__turn")
     joined = joined.withColumn("__nth", F.row_number().over(nth) - 1)

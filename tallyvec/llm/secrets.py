@@ -43,23 +43,55 @@ KINDS = [*BASE, *WEAK]
 SPAN = "array<struct<start: int, rank: int, end: int>>"
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used inside."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _found(kind: str, pattern: str, holds, text: Column) -> Column:
-    """Spans of leftmost matches that pass: lengths between and of matches, added up."""
+    """Spans of leftmost matches that pass: lengths between and of matches, added up.
+
+    Matches are taken in stretches, as many as each is long: a list that grows by a span is
+    copied, so a single long one would cost the square of its length.
+    """
     rank = KINDS.index(kind)
     between = F.transform(F.split(text, pattern, -1), F.char_length)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(between, matches, lambda n, m: F.struct(n.alias("n"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def length(piece: Column) -> Column:
+        return piece["n"] + F.coalesce(F.char_length(piece["m"]), F.lit(0))
 
     def step(state: Column, piece: Column) -> Column:
         begin = state["at"] + piece["n"]
-        end = begin + F.coalesce(F.char_length(piece["m"]), F.lit(0))
+        end = state["at"] + length(piece)
         span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
         good = piece["m"].isNotNull() & holds(piece["m"])
         out = F.when(good, F.concat(state["out"], span)).otherwise(state["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
-    spans = F.aggregate(both, start, step, lambda state: state["out"])
+    def walk(pieces: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast(SPAN).alias("out"))
+        return F.aggregate(pieces, start, step, lambda state: state["out"])
+
+    def cut(pieces: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / width).cast("int"))
+        return F.transform(numbers, lambda i: F.slice(pieces, i * width + 1, width))
+
+    def joined(stretches: Column) -> Column:
+        sums = F.transform(stretches, lambda s: F.aggregate(s, F.lit(0), lambda n, piece: n + length(piece)))
+        return _bound(
+            sums,
+            lambda sizes: F.flatten(
+                F.transform(
+                    stretches,
+                    lambda own, i: walk(own, F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n)),
+                )
+            ),
+        )
+
+    spans = _bound(_bound(both, cut), joined)
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
