@@ -59,9 +59,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; columns may have any names."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.scan(docs, items, 10, tuple(docs.columns)).where("n_hit = 0").select(*docs.columns)
+    names = {f"kept{i}": c for i, c in enumerate(docs.columns)}
+    given = docs.select(*[F.col(c).alias(n) for n, c in names.items()], "text")
+    clean = decontaminate.scan(given, items, 10, tuple(names)).where("n_hit = 0")
+    return clean.select(*[F.col(n).alias(c) for n, c in names.items()])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
