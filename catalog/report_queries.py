@@ -120,11 +120,12 @@ def common_vocab(spark, sf_dir):
 
 
 def neighbours_side_by_side(spark, sf_dir):
-    full, half = _both_neighbours(spark, sf_dir, 10)
+    """The queries are chosen first; only these are searched for."""
     counts = label_sizes(spark, sf_dir)
     queries = frequent_queries(counts, counts)
-    chosen = full.join(queries.select(F.col("word").alias("query")), "query", "left_semi")
-    report = neighbour_report(chosen, half, counts)
+    full = word_neighbours(embeddings(spark, sf_dir), queries, EMBEDDING_DIMS, 10)
+    half = word_neighbours(half_embeddings(spark, sf_dir), queries, HALF, 10)
+    report = neighbour_report(full, half, counts)
     return report.withColumn("full_sim", nine_digits("full_sim")).withColumn("infer_sim", nine_digits("infer_sim"))
 
 
