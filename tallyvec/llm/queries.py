@@ -134,4 +134,20 @@ QUERIES = {
     "op12_jaccard_join": op12_jaccard_join,
     "op13_importance": op13_importance,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # All pairs with a shingle in common, and all that can be reached from each document.
+    "op12_jaccard_join": r"""WITH RECURSIVE
+        ws AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sh AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM ws),
+        flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sh),
+        links AS (SELECT p.doc_id AS a, q.doc_id AS b FROM flat p JOIN flat q ON p.x = q.x AND p.doc_id < q.doc_id
+            AND 10 * least(p.n, q.n) >= 9 * greatest(p.n, q.n) GROUP BY p.doc_id, q.doc_id, p.n, q.n
+            HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id, doc_id AS root FROM sh
+            UNION SELECT b, root FROM reach JOIN both_ways ON a = doc_id)
+        SELECT doc_id, CAST(any_value(len(s)) AS BIGINT) AS n_shingles, min(root) AS component_id
+        FROM reach JOIN sh USING (doc_id) GROUP BY doc_id""",
+}
