@@ -234,3 +234,32 @@ def test_sentences_are_numbered_where_they_are(spark):
     plan = indexed._jdf.queryExecution().executedPlan().toString()
     texts, numbers = plan.split("BroadcastExchange", 1)
     assert "words" in texts and "Exchange" not in texts and "Sort" not in texts and "words" not in numbers
+
+
+def test_counts_of_a_block_do_not_move(spark):
+    """With many blocks the sentences are dealt out by block: one shuffle of counts less, with the same result."""
+    words = [["a", "b"], ["a", "b", "c"], ["b", "c"], ["c", "a"]]
+    lines = spark.createDataFrame([(i, 0, words[i * i % 4]) for i in range(200)], "doc_id long, sent_no int, words array<string>")
+    vocab = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "idx int, word string")
+    found = {}
+    for prune_point in (4, 4 * 200):
+        counts = word_context(lines, vocab, 2, False, 3, prune_point, n_vocab=3)
+        found[prune_point] = {(r["word"], r["context"]): r["cnt"] for r in counts.collect()}
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert ("hashpartitioning(a#" in plan and "block#" in plan) == (prune_point == 4)
+        keys = [line for line in plan.splitlines() if "Exchange hashpartitioning(a#" in line]
+        assert not any("block#" in line.split("),")[0] for line in keys)
+    near = {}
+    for i in range(200):
+        line = words[i * i % 4]
+        for x in range(len(line)):
+            for y in range(max(0, x - 2), min(len(line), x + 3)):
+                if x != y:
+                    blocks = near.setdefault((line[x], line[y]), {})
+                    blocks[i // 4] = blocks.get(i // 4, 0) + 1
+    want = {}
+    for pair, blocks in near.items():
+        starts = [b for b, n in blocks.items() if n >= 3 or b == 49]
+        if starts:
+            want[pair] = float(sum(n for b, n in blocks.items() if b >= min(starts)))
+    assert found[4] == want
