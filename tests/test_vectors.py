@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
 
-from tallyvec.functions.vectors import best_of_block
-from tallyvec.operators import search, tiles
+from tallyvec.functions.vectors import best_of_block, unit_rows
+from tallyvec.operators import factor, influence, search, tiles
+from tallyvec.operators.dense import Dense, add_blocks
 from tallyvec.operators.factor import (
     fill_rows,
     gram,
@@ -196,3 +197,69 @@ def test_small_components_are_not_lost(spark):
     assert np.allclose(sigma, values[:8], rtol=1e-6, atol=0)
     assert np.allclose(np.abs(array_of(u, 30)), np.eye(30)[:, :8], atol=1e-5)
     assert np.allclose(np.abs(array_of(v, 30)), np.eye(30)[:, :8], atol=1e-5)
+
+
+def test_keys_in_one_batch_twice_add_up(spark):
+    """A factor whose keys come twice, close together; the blocks had more vectors than keys before."""
+    rows = [(k % 7, [float(k), 1.0]) for k in range(21)]
+    packed = Dense.pack(spark.createDataFrame(rows, "key int, vec array<double>").coalesce(1), 2, 4, 2)
+    got = {r["key"]: r["vec"] for r in packed.rows("key", "int").collect()}
+    assert got == {k: [float(3 * k + 21), 3.0] for k in range(7)}
+
+
+def test_sparse_cosine_of_many_cells(spark, monkeypatch):
+    """More query cells than Spark puts in a batch, several sets of queries and many parts."""
+    rng = np.random.default_rng(8)
+    values = np.round(rng.random((300, 90)), 2)
+    values[rng.random(values.shape) < 0.3] = 0
+    values[17] = 0
+    table = sparse(spark, values).withColumnRenamed("v", "pmi").coalesce(1)
+    for size in (search.SPARSE_BYTES, 4_000 * search.CELL_BYTES):
+        monkeypatch.setattr(search, "SPARSE_BYTES", size)
+        monkeypatch.setattr(search, "SPARSE_QUERIES", 32)
+        monkeypatch.setattr(search, "PART_ROWS", 70)
+        assert found(sparse_cosine_search(table, table, 3, n_rows=300, n_cols=90, ids=spark.range(300).toDF("row"))) == brute(
+            values, values, 3, True
+        )
+
+
+def test_a_product_moves_no_tiles(spark, sample, monkeypatch):
+    """Panels of a factor that is too large to be sent at once; no partial result per pair of blocks is shuffled."""
+    monkeypatch.setattr(tiles, "MIN_BLOCK", 7)
+    monkeypatch.setattr(tiles, "MAX_BLOCK", 7)
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", 5 * 8 * 48)
+    right = np.random.default_rng(9).normal(size=(40, 13))
+    tiled = tiles.Tiles.build(sparse(spark, sample), "row", "col", 50, 40)
+    blocks = tiles.n_blocks(40)
+    factor = Dense.pack(dense(spark, right, "col"), blocks, -(-40 // blocks), 13)
+    seen = []
+    monkeypatch.setattr(tiles, "add_blocks", lambda parts, *sizes: seen.append(parts.count()) or add_blocks(parts, *sizes))
+    product = tiled.times(factor)
+    assert np.allclose(array_of(product.rows("row", "int"), 50), sample @ right)
+    files = len(tiled.tiles.inputFiles())
+    assert seen[0] <= 3 * (tiles.n_blocks(50) + files)
+
+
+def test_a_large_factor_is_sent_in_panels(spark, sample, monkeypatch):
+    """A factor over the limit is not joined, which shuffled a vector for each entry of the matrix."""
+    monkeypatch.setattr(factor, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(factor, "sum_panels", None)
+    right = np.random.default_rng(10).normal(size=(40, 5))
+    got = sparse_dot(sparse(spark, sample), dense(spark, right, "col"), 5, 40, n_rows=50)
+    assert np.allclose(array_of(got, 50), sample @ right)
+
+
+def test_shifts_are_found_in_single_precision():
+    """Few differences are computed exactly; all were before. Rows that come late may be the largest."""
+    rng = np.random.default_rng(11)
+    pairs = np.hstack([unit_rows(rng.normal(size=(3_000, 4))) for _ in range(2)])
+    ids = np.arange(3_000)
+    state = influence._Shifts(ids[:50], pairs[:50], 20)
+    state._merge, merged = lambda n, merge=state._merge: merged.append(sum(len(r) for r, _ in state.waiting[n])) or merge(n), []
+    for begin in range(0, 3_000, 100):
+        list(state.add(ids[begin : begin + 100], pairs[begin : begin + 100]))
+    batches = list(state.finish())
+    got = np.sort(np.concatenate([b.column(1).to_numpy() for b in batches]).reshape(50, 20), axis=1)
+    one, two = np.hsplit(pairs, 2)
+    want = np.sort(np.abs(one[:50] @ one.T - two[:50] @ two.T), axis=1)[:, -20:]
+    assert np.allclose(got, want, atol=1e-12) and sum(merged) < 50 * 3_000 // 3
