@@ -69,13 +69,29 @@ def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     grams, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for part in _parts(texts):
         new, n = np.unique(_grams(part)[0], return_counts=True)
-        both, place = np.unique(np.concatenate([grams, new]), return_inverse=True)
-        grams, times = both, np.bincount(place, np.concatenate([times, n])).astype(np.int64)
+        # What is known stays in place, so that no array of the chunk's size is sorted for a part.
+        place = np.searchsorted(grams, new)
+        known = np.zeros(len(new), bool)
+        inside = place < len(grams)
+        known[inside] = grams[place[inside]] == new[inside]
+        times[place[known]] += n[known]
+        place = place[~known]
+        grams, times = np.insert(grams, place, new[~known]), np.insert(times, place, n[~known])
     return grams, times
 
 
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal ones among sorted ``keys`` begin."""
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(new)
+
+
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % shards
+    own = keys * np.uint64(0x9E3779B97F4A7C15)
+    own >>= np.uint64(40)
+    own %= np.uint64(shards)
+    return own.astype(np.int32)
 
 
 def _cells(chunk: int, keys: np.ndarray, shards: int, values: np.ndarray | None = None) -> list[tuple]:
@@ -215,8 +231,8 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     chunks = min(max(16, total // CHUNK_BYTES + 1), (1 << 31) - 1)
     shards = max(16, chunks // 4)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Dealt once and kept by the executors for the three passes; made again where it is lost.
-    packed = _pack_docs(docs, chunks).repartition(parts, "chunk").persist(StorageLevel.MEMORY_AND_DISK)
+    # Dealt once and kept on the executors' disks for the three passes, as their memory is the workers'; made again where it is lost.
+    packed = _pack_docs(docs, chunks).repartition(parts, "chunk").persist(StorageLevel.DISK_ONLY)
     ids = trusted.where("doc_id is not null").select("doc_id").distinct()
     held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD_OUT)) == 0
     ids = write_stage(ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", held.alias("held")), "kn-trusted")
@@ -240,10 +256,12 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
         columns = [_columns(x.as_py(), 2) for x in table["payload"]]
         keys = np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c in columns])
-        distinct, place = np.unique(keys, return_inverse=True)
-        sums = np.zeros(len(distinct), np.int64)
-        np.add.at(sums, place, np.concatenate([c[1] for c in columns]).view(np.int64))
-        return pa.table({"gram": distinct.view(np.int64), "cnt": sums})
+        counts = np.concatenate([c[1] for c in columns]).view(np.int64)
+        del columns
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = _starts(keys)
+        return pa.table({"gram": keys[first].view(np.int64), "cnt": np.add.reduceat(counts[order], first)})
 
     counted = both.applyInArrow(count, CELLS)
     grams = write_stage(counted.groupBy("bucket").applyInArrow(add, "gram long, cnt long"), "kn-grams")
@@ -254,8 +272,9 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         return cell_table(_cells(key[0].as_py(), grams, shards))
 
     def merge(table: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_columns(x.as_py(), 1)[0], dtype=np.uint64) for x in table["payload"]]
-        distinct = np.unique(np.concatenate(keys)).view(np.int64)
+        keys = np.concatenate([np.cumsum(_columns(x.as_py(), 1)[0], dtype=np.uint64) for x in table["payload"]])
+        keys.sort()
+        distinct = keys[_starts(keys)].view(np.int64)
         return pa.table({"shard": pa.array(np.full(len(distinct), table["bucket"][0].as_py()), pa.int32()), "gram": distinct})
 
     def reply(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:

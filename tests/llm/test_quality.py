@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import tracemalloc
 
 from pyspark.sql import functions as F
 
@@ -79,3 +80,18 @@ def test_parts_change_nothing(monkeypatch):
     parts = kneser_ney._distinct(texts)
     assert all((a == b).all() for a, b in zip(whole, parts)) and whole[1].sum() == sum(len(t) + 1 for t in texts)
     assert kneser_ney._distinct([])[0].size == 0 == kneser_ney._grams([])[1].size
+
+
+def test_grams_of_a_chunk_take_bounded_memory():
+    dealt = random.Random(5)
+    texts = [dealt.randbytes(1 << 16) for _ in range(48)] + [b"abcabcabc" * 50, b"", b"abc"]
+    want = collections.Counter()
+    for part in kneser_ney._parts(texts):
+        want.update(kneser_ney._grams(part)[0].tolist())
+    tracemalloc.start()
+    keys, times = kneser_ney._distinct(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (keys[1:] > keys[:-1]).all() and dict(zip(keys.tolist(), times.tolist())) == want
+    # Two numbers of eight bytes a gram are the result; sorting it with every part took 81.
+    assert peak < 60 * len(keys)
