@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import public_tokenizers
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,8 @@ def _same(keys: DataFrame):
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     _folder(spark)
-    judged = kneser_ney.classify(docs, trusted_ids(spark, sf_dir)).where("kept")
+    # Heap that grows for the packed documents stays with the executors, and the next stage has less.
+    judged = kneser_ney.classify(docs, trusted_ids(spark, sf_dir), StorageLevel.DISK_ONLY).where("kept")
     keys = judged.select(F.col("doc_id").alias("key"), F.col("tie").alias("text_key"))
     return _keyed(docs).join(keys, _same(keys), "left_semi").select(*docs.columns)
 

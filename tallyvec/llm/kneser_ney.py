@@ -220,19 +220,22 @@ def _bits(asked: DataFrame, model) -> DataFrame:
     raise AssertionError("no order")
 
 
-def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def perplexity(
+    docs: DataFrame, trusted: DataFrame, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK
+) -> DataFrame:
     """``(doc_id, tie, lang, n_bytes, bits, split)`` for every document; ``tie`` is a hash of the text.
 
     ``bits`` is the surprise of the whole text; ``split`` is 'train' for trusted documents that
     the model is made of, 'held' for those held out, else null. ``trusted`` holds ids.
+    ``storage`` is where the executors keep the packed documents between passes.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = min(max(16, total // CHUNK_BYTES + 1), (1 << 31) - 1)
     shards = max(16, chunks // 4)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Dealt once and kept on the executors' disks for the three passes, as their memory is the workers'; made again where it is lost.
-    packed = _pack_docs(docs, chunks).repartition(parts, "chunk").persist(StorageLevel.DISK_ONLY)
+    # Dealt once and kept by the executors for the three passes; made again where it is lost.
+    packed = _pack_docs(docs, chunks).repartition(parts, "chunk").persist(storage)
     ids = trusted.where("doc_id is not null").select("doc_id").distinct()
     held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD_OUT)) == 0
     ids = write_stage(ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", held.alias("held")), "kn-trusted")
@@ -322,7 +325,9 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return scored.join(ids.select("doc_id", "held"), "doc_id", "left").select(*scored.columns, split.alias("split"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def classify(
+    docs: DataFrame, trusted: DataFrame, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK
+) -> DataFrame:
     """``(doc_id, tie, lang, n_bytes, perplexity, threshold, kept, split)`` for every document.
 
     ``perplexity`` is per byte, in bits, the end of the text included. The threshold is a
@@ -331,9 +336,9 @@ def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     judgement are texts without bytes and the documents trained on: these are trusted by
     their labels, and how a model fits its own texts does not compare with the held-out ones.
     Null texts are empty; repeated rows are scored alike, null ids never trusted; needs
-    ``doc_id, lang, text``; no rows give none.
+    ``doc_id, lang, text``; no rows give none. ``storage`` is that of ``perplexity``.
     """
-    scored = write_stage(perplexity(docs, trusted), "kn-split")
+    scored = write_stage(perplexity(docs, trusted, storage), "kn-split")
     rated = scored.withColumn("perplexity", F.col("bits") / (F.col("n_bytes") + 1))
     held = rated.where("split = 'held' and n_bytes > 0")
     quantile = F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10000))
