@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyvec.functions.sums import count_labels
 from tallyvec.operators.ranking import dense_index
 from tallyvec.operators.vocabulary import place_key
 from tallyvec.sources.stage import small
@@ -16,16 +17,20 @@ def count_label_words(
     """``(label, col, cnt, first)`` from labelled sentences.
 
     Every in-vocabulary word of a sentence counts once per label, repeated labels
-    repeatedly. Words are looked up before the labels are expanded. ``first`` orders the
-    labels by first appearance among the sentences that have a known word.
+    repeatedly. A task counts bounded stretches of text by label and word, and the counts are looked
+    up. ``first`` orders the labels by first appearance among the sentences that have a known word.
     """
     ids = small(vocab.select("word", F.col("idx").alias("col")), n_vocab)
+    kinds = {f.name: f.dataType.simpleString() for f in sentences.schema}
+    schema = f"label string, word string, cnt long, doc_id {kinds['doc_id']}, sent_no {kinds['sent_no']}, pos int"
+    counts = sentences.select("doc_id", "sent_no", "labels", "words").mapInArrow(count_labels, schema)
     return (
-        sentences.select("doc_id", "sent_no", "labels", F.explode("words").alias("word"))
-        .join(ids, "word")
-        .select("doc_id", "sent_no", "col", F.posexplode("labels").alias("pos", "label"))
+        counts.join(ids, "word")
+        .select("label", "col", "cnt", place_key("pos").alias("first"))
+        # Most labels and words meet in one stretch only, so nothing is combined again before the shuffle.
+        .repartition("label", "col")
         .groupBy("label", "col")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.min(place_key("pos")).alias("first"))
+        .agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first"))
     )
 
 

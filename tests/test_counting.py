@@ -4,13 +4,15 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tallyvec.functions import sums
 from tallyvec.operators import cooccurrence
 from tallyvec.operators.cooccurrence import count_pairs, head_and_tail, word_context
 from tallyvec.operators.labels import count_label_words, index_labels, label_word
 from tallyvec.operators.matrix import pack_rows, slice_matrix, sparse_encode, stack_labels
 from tallyvec.operators.pmi import count_marginals, train_pmi
-from tallyvec.operators.vocabulary import index_sentences, index_vocabulary, scan_vocabulary
+from tallyvec.operators.vocabulary import index_sentences, index_vocabulary, scan_vocabulary, word_counts
 from tallyvec.sources.stage import write_stage
 from tests.test_corpus import sents
 
@@ -263,3 +265,50 @@ def test_counts_of_a_block_do_not_move(spark):
         if starts:
             want[pair] = float(sum(n for b, n in blocks.items() if b >= min(starts)))
     assert found[4] == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def random_lines(n=80):
+    rng = random.Random(11)
+    return [[f"w{min(rng.randint(0, 30), rng.randint(0, 30))}" for _ in range(rng.randint(0, 12))] for _ in range(n)]
+
+
+def test_words_and_labels_are_counted_in_bounded_stretches(spark, monkeypatch):
+    monkeypatch.setattr(sums, "COUNTED", 15)
+    monkeypatch.setattr(sums, "SENT", 3)
+    lines, rng = random_lines(), random.Random(5)
+    rows = [(i // 2 % 30, i % 2, rng.choices(["a", "b", "c", f"d{i}"], k=i % 4), words) for i, words in enumerate(lines)]
+    rows += [(-3, 0, ["c", "b"], ["w0", "w1"]), (900, 0, None, ["w0"]), (901, 0, ["a"], None)]
+    sents = spark.createDataFrame(rows, "doc_id long, sent_no int, labels array<string>, words array<string>").repartition(4)
+
+    def place(doc, sent, pos):
+        return doc * 5 * 10**18 + (sent << 31 | pos)
+
+    words, labels = {}, {}
+    for doc, sent, named, line in rows:
+        for pos, word in enumerate(line or []):
+            words.setdefault(word, []).append(place(doc, sent, pos))
+            for at, label in enumerate(named or []):
+                if word != "w3":
+                    labels.setdefault((label, word), []).append(place(doc, sent, at))
+    counts = word_counts(sents)
+    assert {r["word"]: (r["cnt"], int(r["first"])) for r in counts.collect()} == {k: (len(v), min(v)) for k, v in words.items()}
+    vocab = spark.createDataFrame([(i, w) for i, w in enumerate(sorted(words)) if w != "w3"], "idx int, word string")
+    found = count_label_words(sents, vocab, 40)
+    names = {r["idx"]: r["word"] for r in vocab.collect()}
+    got = {(r["label"], names[r["col"]]): (r["cnt"], int(r["first"])) for r in found.collect()}
+    assert got == {k: (len(v), min(v)) for k, v in labels.items()}
+    for df in (counts, found):
+        after, _, before = plan_of(df.select("*")).partition("MapInArrow")
+        assert "HashAggregate" in after and "HashAggregate" not in before
+        assert after.rindex("HashAggregate") < after.index("Exchange hashpartitioning")
+
+
+def test_sums_of_keys_that_fit_no_single_number():
+    big = np.array([2**40, 1, 2**40, 2**40])
+    keys, values = sums.sum_by_key([big, big[::-1].copy()], np.array([1, 2, 3, 4]))
+    assert [list(k) for k in keys] == [[1, 2**40, 2**40], [2**40, 1, 2**40]]
+    assert list(values) == [2, 3, 5]
