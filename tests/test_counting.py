@@ -276,6 +276,40 @@ def random_lines(n=80):
     return [[f"w{min(rng.randint(0, 30), rng.randint(0, 30))}" for _ in range(rng.randint(0, 12))] for _ in range(n)]
 
 
+@pytest.mark.parametrize("head_bytes", [100, 1 << 20])
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_pairs_are_added_up_in_bounded_stretches(spark, monkeypatch, head_bytes, min_count):
+    """Stretches shorter than a sentence, sentences of one key, null words; no aggregation before the shuffle."""
+    for name, size in (("TAKEN", 5), ("HELD", 7), ("SENT", 3), ("CODED", 20)):
+        monkeypatch.setattr(sums, name, size)
+    lines = random_lines()
+    rows = [(0, i, [*words, None, "w0"]) for i, words in enumerate(lines)]
+    sents = spark.createDataFrame(rows, "doc_id long, sent_no int, words array<string>").repartition(3)
+    vocab, n = index_vocabulary(sents.withColumn("words", F.array_compact("words")), 3)
+    known = {r["word"] for r in vocab.collect()}
+    counts = word_context(sents, vocab, 3, True, min_count, 10, n_vocab=n, head_bytes=head_bytes)
+    want = replay([words for _, _, words in rows], known, 3, min_count, 10)
+    assert counted(counts) == pytest.approx({k: v for k, v in want.items() if v})
+    if min_count == 1:
+        same_key = sents.withColumn("sent_no", F.lit(0))
+        assert counted(word_context(same_key, vocab, 3, n_vocab=n, head_bytes=head_bytes)) == pytest.approx(want)
+        plan = plan_of(count_pairs(sents, vocab, n, head_bytes=head_bytes))
+        after, _, before = plan.partition("MapInArrow" if head_bytes > 100 else "FlatMapCoGroupsInArrow")
+        assert "HashAggregate" in after and "HashAggregate" not in before
+        assert after.rindex("HashAggregate") < after.index("Exchange hashpartitioning")
+
+
+def test_rare_words_move_once_per_chunk(spark, monkeypatch):
+    """Words that are not broadcast are shuffled by chunk and word, not by token."""
+    chunks = []
+    monkeypatch.setattr(cooccurrence, "write_stage", lambda df, name: chunks.append(write_stage(df, name)) or chunks[-1])
+    rows = [(i, 0, ["x", "y", "x", "z"] * 5) for i in range(40)]
+    sents = spark.createDataFrame(rows, "doc_id long, sent_no int, words array<string>").coalesce(2)
+    vocab, n = index_vocabulary(sents, 1)
+    count_pairs(sents, vocab, n, head_bytes=40).collect()
+    assert chunks[0].filter("word is not null").count() == 3 * 2
+
+
 def test_words_and_labels_are_counted_in_bounded_stretches(spark, monkeypatch):
     monkeypatch.setattr(sums, "COUNTED", 15)
     monkeypatch.setattr(sums, "SENT", 3)
