@@ -30,6 +30,7 @@ HELD_OUT = 3  # one in so many trusted documents sets thresholds instead of trai
 QUANTILE = 0.99  # of the perplexities of trusted documents, by language
 CHUNK_BYTES = 16 << 20
 PART_BYTES = 1 << 20  # of a chunk whose grams are listed at once
+PACK_LEVEL = 3  # of zstd for documents: a tenth less to shuffle than at level 1
 STEP = 1024  # an answer is a whole number of 1/STEP bits, below 64 bits
 
 
@@ -125,7 +126,7 @@ def _pack_docs(docs: DataFrame, chunks: int) -> DataFrame:
     dealt = docs.select(chunk, "doc_id", F.xxhash64("text").alias("tie"), "lang", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=PACK_LEVEL)
         for batch in batches:
             numbers = batch.column(0).to_numpy()
             order = np.argsort(numbers, kind="stable")
@@ -227,7 +228,7 @@ def perplexity(
 
     ``bits`` is the surprise of the whole text; ``split`` is 'train' for trusted documents that
     the model is made of, 'held' for those held out, else null. ``trusted`` holds ids.
-    ``storage`` is where the executors keep the packed documents between passes.
+    ``storage`` is where the executors keep the packed documents and the lists of their grams between passes.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -291,7 +292,8 @@ def perplexity(
             rows.append((chunk, key[0].as_py(), deflate(codes.tobytes())))
         return cell_table(rows)
 
-    asked = write_stage(packed.groupBy("chunk").applyInArrow(ask, CELLS), "kn-asked")
+    # Dealt once by bucket, for the merge and for the replies.
+    asked = packed.groupBy("chunk").applyInArrow(ask, CELLS).repartition(parts, "bucket").persist(storage)
     distinct = write_stage(asked.groupBy("bucket").applyInArrow(merge, "shard int, gram long"), "kn-distinct")
     known = write_stage(_bits(distinct, model), "kn-bits")
     replies = asked.groupBy("bucket").cogroup(known.groupBy("shard")).applyInArrow(reply, CELLS)
@@ -322,6 +324,7 @@ def perplexity(
     split = F.when(F.col("held"), "held").when(~F.col("held"), "train")
     scored = write_stage(scored, "kn-scores")
     packed.unpersist()
+    asked.unpersist()
     return scored.join(ids.select("doc_id", "held"), "doc_id", "left").select(*scored.columns, split.alias("split"))
 
 

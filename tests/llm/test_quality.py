@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import tracemalloc
 
 from pyspark.sql import functions as F
@@ -72,6 +73,25 @@ def test_perplexity_is_that_of_dictionaries(spark):
     assert alone.where(~F.col("kept")).count() == 0 and alone.count() == len(rows)
 
 
+def test_lists_of_grams_are_dealt_once(spark, monkeypatch):
+    written, write = {}, kneser_ney.write_stage
+
+    def listed(df, name):
+        written[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(kneser_ney, "write_stage", listed)
+    rows = [(i, f"the text number {i} of some", "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in range(30)], "doc_id long")
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    scored = kneser_ney.perplexity(docs, trusted)
+    assert scored.count() == 40 and spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+    # Written, the lists were dealt by bucket for the merge and again for the replies.
+    assert "kn-asked" not in written
+    assert not re.search(r"hashpartitioning\(bucket#\d+, \d+\), ENSURE_REQUIREMENTS", written["kn-scores"])
+
+
 def test_parts_change_nothing(monkeypatch):
     rng = random.Random(1)
     texts = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 300))).encode() for _ in range(50)]
