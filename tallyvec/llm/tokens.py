@@ -28,7 +28,7 @@ from tallyvec.llm.worker import kept
 
 BLOCK_IDS = 1 << 17  # a block is closed at so many ids; a document is never cut
 GROUP_CHARS = 1 << 21  # so many characters are encoded together, or one longer text
-PIECES = 1_500_000  # pieces of text that a worker remembers: some 250 MB
+PIECES = 1_500_000  # pieces of text that a worker remembers: some 250 MB; of ``write_tokens``, for one task
 LEARNT = 1 << 15  # pieces encoded at once
 
 FILE = (
@@ -103,6 +103,11 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def release(self) -> None:
+        """Forget all pieces and give back the memory, which idle workers would keep from other stages."""
+        self._forget()
+        pa.default_memory_pool().release_unused()
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self._many([text], add_special_tokens=False)[0].ids, np.uint32)
 
@@ -199,18 +204,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2)
             return pa.RecordBatch.from_pylist([row], _file_schema())
 
         held = 0
-        for batch in batches:
-            for doc_ids, texts in _groups(batch):
-                for name, ids in zip(doc_ids, coder.encode_many(texts)):
-                    names.append(name)
-                    parts.append(np.append(ids, np.uint32(end_id)))
-                    held += len(parts[-1])
-                    if held >= BLOCK_IDS:
-                        yield close()
-                        block, start = block + 1, start + held
-                        names, parts, held = [], [], 0
-        if parts:
-            yield close()
+        try:
+            for batch in batches:
+                for doc_ids, texts in _groups(batch):
+                    for name, ids in zip(doc_ids, coder.encode_many(texts)):
+                        names.append(name)
+                        parts.append(np.append(ids, np.uint32(end_id)))
+                        held += len(parts[-1])
+                        if held >= BLOCK_IDS:
+                            yield close()
+                            block, start = block + 1, start + held
+                            names, parts, held = [], [], 0
+            if parts:
+                yield close()
+        finally:
+            coder.release()
 
     tie = F.xxhash64("text").alias("tie")
     ordered = docs.select("doc_id", "text", tie).repartitionByRange("doc_id", "tie")

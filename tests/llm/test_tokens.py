@@ -40,3 +40,23 @@ def test_forgetting_changes_nothing(monkeypatch):
     for _ in range(200):
         text = " ".join(rng.choice("abcdef") * rng.randint(1, 9) for _ in range(30))
         assert own.encode(text).tolist() == own._whole(text).tolist()
+
+
+def test_workers_keep_no_pieces_between_tasks(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(300))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    files = tokens.write_tokens(docs, path, str(tmp_path), end_id=2)
+    assert tokens.read_tokens(spark, files).count() == 200
+
+    def held(batches):
+        import sys
+
+        import pyarrow as pa
+
+        for _ in batches:
+            known = [len(v.known) for k, v in sys.__dict__.get("_tallyvec_kept", {}).items() if k[0] == "tokens"]
+            yield pa.RecordBatch.from_arrays([pa.array(known, pa.int64())], ["n"])
+
+    sizes = [r.n for r in spark.range(0, 64, 1, 32).mapInArrow(held, "n long").collect()]
+    assert sizes and max(sizes) == 1
