@@ -346,3 +346,24 @@ def test_sums_of_keys_that_fit_no_single_number():
     keys, values = sums.sum_by_key([big, big[::-1].copy()], np.array([1, 2, 3, 4]))
     assert [list(k) for k in keys] == [[1, 2**40, 2**40], [2**40, 1, 2**40]]
     assert list(values) == [2, 3, 5]
+
+
+def test_sums_of_pairs_travel_packed(spark):
+    """A few bytes a sum, whatever the keys; with many blocks neither sentences nor counts of each block move as rows."""
+    rng = np.random.default_rng(1)
+    keys, values = sums.sum_by_key(list(np.sort(rng.integers(0, 5_000, (2, 200_000)), axis=0)), rng.integers(1, 4, 200_000))
+    wide = [np.array([0, 5, 2**45]), np.array([2**40, 2**41, 2**46]), np.array([7, 2**30, 3])]
+    for own, units in ((keys, values), (wide, np.array([1, 2**50, 3])), ([k[:3] for k in keys], values[:3])):
+        for groups in (1, 3, 300):
+            rows = [r for batch in sums.pack_sums(own, units, groups) for r in batch.to_pylist()]
+            assert len({(r["a"], r["b"]) for r in rows}) == len(rows)
+            found = sums.total_sums(sums.unpack_sums(r["sums"], r["a"], r["b"], groups) for r in rows)
+            assert all((x == y).all() for x, y in zip([*own, units], [*found[0], found[1]]))
+            if len(units) > 3 and groups < 300:
+                assert sum(len(r["sums"]) for r in rows) < 4 * len(units)
+    lines = spark.createDataFrame([(i, 0, ["a", "b", "a"]) for i in range(200)], "doc_id long, sent_no int, words array<string>")
+    vocab, n = index_vocabulary(lines, 1)
+    counts = count_pairs(lines, vocab, n, 2, False, 3, 4)
+    assert {(r["row"], r["col"]): r["units"] for r in counts.collect()} == {(0, 0): 400, (0, 1): 400, (1, 0): 400}
+    plan = plan_of(counts)
+    assert "hashpartitioning(block#" not in plan and "sums#" in plan
