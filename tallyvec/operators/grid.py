@@ -85,24 +85,27 @@ def pack(rows: DataFrame, n_dims: int, prepare: Callable[[np.ndarray], np.ndarra
     return Blocks(table, n_blocks, sum(r["n"] for r in parts), n_dims)
 
 
-def shape(left: Blocks, right: Blocks, cores: int) -> tuple[int, int]:
-    """Groups of left and of right blocks: near to square, and as many cells as there is work for."""
+def shape(left: Blocks, right: Blocks, cores: int, sent: int = 0) -> tuple[int, int]:
+    """Groups of left and of right blocks: as many cells as there is work for, and as little traffic.
+
+    That is near to square, unless a task gives back ``sent`` bytes for each of its left rows.
+    """
     tasks = max(2 * cores, -(-left.n_rows * right.n_rows // TASK_PAIRS))
     least = -(-left.n_rows * left.n_dims * 8 // HELD_BYTES)
-    square = round(math.sqrt(tasks * left.n_rows / max(1, right.n_rows)))
+    square = round(math.sqrt(tasks * left.n_rows / max(1, right.n_rows) * (1 + sent / (8 * left.n_dims))))
     across = max(1, min(left.n_blocks, max(least, square)))
     return across, max(1, min(right.n_blocks, -(-tasks // across)))
 
 
-def meet(left: Blocks, right: Blocks, start: Callable, schema: str) -> DataFrame:
+def meet(left: Blocks, right: Blocks, start: Callable, schema: str, sent: int = 0) -> DataFrame:
     """Rows of ``schema`` from tasks that together let all left rows meet all right rows.
 
     ``start(ids, values)`` takes the left rows of a task and returns an object with
     ``add(ids, values)``, called for one right block after the other, and ``finish()``; both
-    yield record batches. The ids of a block rise.
+    yield record batches. The ids of a block rise. ``sent`` is what a task gives back for a left row, in bytes, if it is much.
     """
     cores = left.table.sparkSession.sparkContext.defaultParallelism
-    across, down = shape(left, right, cores)
+    across, down = shape(left, right, cores, sent)
     n_left, n_right = left.n_dims, right.n_dims
 
     def copies(blocks: Blocks, side: int, times: int, cell: str) -> DataFrame:

@@ -12,6 +12,7 @@ from tallyvec.operators.factor import (
     sparse_dot,
     truncated_svd,
 )
+from tallyvec.operators.grid import meet
 from tallyvec.operators.influence import distance_shifts
 from tallyvec.operators.search import (
     cosine_search,
@@ -263,3 +264,21 @@ def test_shifts_are_found_in_single_precision():
     one, two = np.hsplit(pairs, 2)
     want = np.sort(np.abs(one[:50] @ one.T - two[:50] @ two.T), axis=1)[:, -20:]
     assert np.allclose(got, want, atol=1e-12) and sum(merged) < 50 * 3_000 // 3
+
+
+def test_largest_differences_travel_as_one_row(spark, monkeypatch):
+    """A task sends a row for each of its rows, not one for each difference; a row may have got many at once, or few in all."""
+    sent = []
+    monkeypatch.setattr(influence, "meet", lambda *args: sent.append(meet(*args)) or sent[-1])
+    monkeypatch.setattr(influence, "WORD_BLOCK", 16)
+    monkeypatch.setattr(influence, "SHIFT_CELLS", 16 * 5)
+    rng = np.random.default_rng(12)
+    plain, labelled = (unit_rows(rng.normal(size=(300, 3))) for _ in range(2))
+    plain[40:], labelled[40:] = plain[:1], plain[:1]
+    shift = np.sort(np.abs(plain @ plain.T - labelled @ labelled.T), axis=1)
+    for topk in (1, 7, 1000):
+        got = distance_shifts(dense(spark, plain), dense(spark, labelled), 300, 3, topk)
+        assert np.allclose([r["influence"] for r in got.orderBy("row").collect()], shift[:, -topk:].mean(axis=1))
+        rows = sent[-1].groupBy("row").count().collect()
+        assert len(rows) == 300 and max(r["count"] for r in rows) <= 2 * spark.sparkContext.defaultParallelism
+    assert [e - b for b, e in influence._even_runs(np.array([1, 1, 900, 2, 2]), 3)] == [2, 1, 2]
