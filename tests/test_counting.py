@@ -367,3 +367,19 @@ def test_sums_of_pairs_travel_packed(spark):
     assert {(r["row"], r["col"]): r["units"] for r in counts.collect()} == {(0, 0): 400, (0, 1): 400, (1, 0): 400}
     plan = plan_of(counts)
     assert "hashpartitioning(block#" not in plan and "sums#" in plan
+
+
+def test_three_million_words_are_looked_up_where_the_pairs_are(spark):
+    """Neither the words of the text nor the pairs are shuffled to a vocabulary of such a size."""
+    lines = spark.createDataFrame([(i, 0, ["a", "b", f"c{i % 3}"]) for i in range(30)], "doc_id long, sent_no int, words array<string>")
+    vocab, n = index_vocabulary(lines, 1)
+    rows = spark.createDataFrame([("a",)], "word string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for chosen in (None, rows):
+            large = word_context(lines, vocab, 2, row_words=chosen, n_vocab=3_000_000, n_rows=1)
+            assert "SortMergeJoin" not in plan_of(large)
+            assert counted(large) == counted(word_context(lines, vocab, 2, row_words=chosen, n_vocab=n, n_rows=1))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
